@@ -1,0 +1,17 @@
+"""Registered queries over the reference's operators, with their DuckDB oracles."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusflow.session import read_table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default pipeline; grows as operators are added."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
