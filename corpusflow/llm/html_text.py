@@ -44,6 +44,7 @@ SCOPES = frozenset("table ul ol dl article section div main aside nav form foote
 REGIONS = frozenset("nav footer header aside form head menu dialog button select fieldset".split())
 MAINS = frozenset("article main".split())
 HINTED = frozenset("div section table ul ol span td".split())
+TEMPER = 0.25  # tag and shape of siblings go together, so each counts for less than an independent sign would
 SPACE = re.compile(r"\s+")
 
 
@@ -184,7 +185,7 @@ class TreeModel:
         n = len(p.tag)
         unary = []
         for f in _features(p):
-            o = max(-30.0, min(30.0, sum(self.odds.get(x, 0.0) for x in f)))
+            o = max(-30.0, min(30.0, sum(self.odds.get(x, 0.0) * (1.0 if x[:5] == "hint=" else TEMPER) for x in f)))
             a = 1 / (1 + math.exp(-o))
             unary.append((1 - a, a))
         psi = [self.edge.get(_kind(p.tag[i], p.hints[i]), self.default) for i in range(n)]
@@ -243,7 +244,7 @@ _MID = "One or two sentences of the article, no more than this."
 _PS = f"<h1>Headline of it</h1><p>{_LONG}</p><p>{_MID}</p><p>Short.</p><h2>Part</h2><p>{_LONG}<b>bold words</b> and <a href=x>a link</a> {_MID}</p><p><b>{_MID}<br><p>{_LONG}</p>"
 _LIST = f"<ul><li>{_MID}</li><li>point</li></ul><ol><li>{_LONG}</li></ol><blockquote><p>{_MID}</p></blockquote><table><tr><td>cell</td><td>12</td></tr></table><pre><code>x = 1</code></pre><figure><figcaption>A picture of the place</figcaption></figure>"
 _MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li></ul>'
-_COMMENTS = f'<h3>3 Comments</h3><div class="comment"><p class="author">Joe says</p><p>{_MID}</p></div><ul class="comment-list"><li class="comment"><p>{_LONG}</p></li></ul>'
+_COMMENTS = f'<h3>3 Comments</h3><div class="comment"><p class="author">Joe says</p><p>{_MID}</p></div><ul class="comment-list"><li class="comment"><p>{_LONG}</p></li></ul><article class="comment"><p>{_MID}</p></article>'
 _FORM = '<form class="search-form"><label>Search</label><input name=q><select><option>all</option></select><button>Go</button><p>Your mail stays private.</p></form>'
 LABELLED = [
     _page(f"<nav>{_MENU}</nav><div class=ad>{_MID}</div>", f"<article data-y=1>{_PS}{_LIST}</article>", f"<footer>&copy; site. {_MID}</footer>"),

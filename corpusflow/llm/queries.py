@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import ann, decontaminate, html_text, licenses, line_dedup, packing, quality, secrets
+from corpusflow.llm import ann, decontaminate, html_text, licenses, line_dedup, packing, quality, secrets, substring_dedup
 from corpusflow.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,19 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_nearest_neighbours")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+SUBSTRING_SQL = r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, doc_id, p, array_to_string(w[p : p + 12], ' ') AS s FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM docs WHERE len(w) >= 13 AND doc_id IS NOT NULL)),
+least AS (SELECT s, min(doc_id) AS m FROM win GROUP BY s HAVING min(doc_id) < max(doc_id)),
+gone AS (SELECT DISTINCT r, unnest(range(p, p + 13)) AS i FROM win JOIN least USING (s) WHERE m < doc_id),
+each AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (SELECT r, count(gone.i) AS n, string_agg(x, ' ' ORDER BY i) FILTER (gone.i IS NULL) AS t FROM each LEFT JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
+"""
+
+
+@query("op4_substring_dedup", SUBSTRING_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"), digest=True)
