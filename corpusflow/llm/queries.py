@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusflow.llm import ann, decontaminate, html_text, licenses, line_dedup, packing, quality, secrets, substring_dedup
+from corpusflow.llm import ann, decontaminate, html_text, jaccard_join, licenses, line_dedup, packing, quality, secrets, substring_dedup
 from corpusflow.session import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,24 @@ SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(t
 @query("op4_substring_dedup", SUBSTRING_SQL)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(read_table(spark, sf_dir, "documents"), digest=True)
+
+
+JACCARD_SQL = r"""
+WITH RECURSIVE docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda p : array_to_string(w[p : p + 2], ' '))) END AS s FROM docs),
+each AS (SELECT r, unnest(s) AS x FROM sets WHERE doc_id IS NOT NULL),
+rare AS (SELECT x FROM each GROUP BY x HAVING count(*) > 1),
+held AS (SELECT r, x FROM each JOIN rare USING (x)),
+pairs AS (SELECT a.r AS a, b.r AS b, count(*) AS i FROM held a JOIN held b ON a.x = b.x AND a.r < b.r GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sets p ON p.r = a JOIN sets q ON q.r = b WHERE 100 * i >= 70 * (len(p.s) + len(q.s) - i)),
+sym AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT r AS a, r AS b FROM docs UNION SELECT reach.a, sym.b FROM reach JOIN sym ON sym.a = reach.b),
+comp AS (SELECT a AS r, min(d.doc_id) AS component_id FROM reach JOIN docs d ON d.r = reach.b GROUP BY 1),
+deg AS (SELECT a AS r, count(*) AS n FROM sym GROUP BY 1)
+SELECT doc_id, len(s) AS n_shingles, coalesce(n, 0) AS n_similar, component_id FROM sets LEFT JOIN deg USING (r) LEFT JOIN comp USING (r)
+"""
+
+
+@query("op9_jaccard_join", JACCARD_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similar_documents(read_table(spark, sf_dir, "documents"))
