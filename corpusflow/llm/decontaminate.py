@@ -188,22 +188,48 @@ def _leaks(shared, threshold: float):
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare: int = 50, threshold: float = 0.5) -> DataFrame:
-    """One row per (document, test item) that aligns: doc_id, item_id, score, start_word, end_word, n_seeds."""
-    spark = docs.sparkSession
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+def _blocks(docs: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, n: int, rare: int):
+    """The seeds of each block of test items, counted over all of ``docs`` (a column ``text``)."""
     items = benchmark.select(F.col(f"`{item_id_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).filter(F.length("text") > 0)
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
-    out = None
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         seeds = Seeds([(r[0], r[1]) for r in block.orderBy("item_id", "text").toLocalIterator()], n)
         df = np.zeros(len(seeds.distinct), np.int64)
-        counted = d.select("text").mapInArrow(_count(spark.sparkContext.broadcast(seeds)), "gram long, n long")
+        counted = docs.select("text").mapInArrow(_count(docs.sparkSession.sparkContext.broadcast(seeds)), "gram long, n long")
         for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
             df[r[0]] = r[1]
         seeds.keep_rare(df, rare)
-        found = d.mapInArrow(_leaks(spark.sparkContext.broadcast(seeds), threshold), "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long")
+        yield seeds
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare: int = 50, threshold: float = 0.5) -> DataFrame:
+    """One row per (document, test item) that aligns: doc_id, item_id, score, start_word, end_word, n_seeds."""
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    out = None
+    for seeds in _blocks(d, benchmark, item_id_col, item_text_col, n, rare):
+        found = d.mapInArrow(_leaks(docs.sparkSession.sparkContext.broadcast(seeds), threshold), "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long")
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def _without(shared, threshold: float, at: int):
+    def run(batches):
+        seeds = shared.value
+        for b in batches:
+            clean = [not leaks(seeds, hash_words(tokens(t)), threshold) for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return run
+
+
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare: int = 50, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with which no test item aligns, with all their columns."""
+    names = docs.columns
+    inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
+    at = names.index(text_col)
+    for seeds in _blocks(docs.select(F.col(f"`{text_col}`").alias("text")), benchmark, item_id_col, item_text_col, n, rare):
+        inner = inner.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(seeds), threshold, at), kinds)
+    return inner.toDF(*names)

@@ -411,7 +411,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # tiles of bounded size; a set is sent once to each group of tile pairs
     tiles = sets.groupBy("tile").count().select("tile", F.ceil(F.col("count") / TILE).alias("parts"))
     place = sets.select("d1", "tile").join(tiles, "tile").select("d1", F.xxhash64("tile", F.pmod(F.xxhash64("d1"), F.col("parts"))).alias("tile"))
-    place = materialize(place, "places")
+    place = materialize(place.dropDuplicates(["d1"]), "places")  # rows of equal ids may have brought a set twice
     groups = shards * 4
     at = pairs.join(place.select(F.col("d1").alias("a"), F.col("tile").alias("ta")), "a").join(place.select(F.col("d1").alias("b"), F.col("tile").alias("tb")), "b")
     at = materialize(at.select("a", "b", F.pmod(F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")), F.lit(groups)).alias("g")), "pairs")

@@ -202,12 +202,12 @@ def score(docs: DataFrame, model: GatedAttention | float, id_col: str = "doc_id"
     return d.mapInArrow(_score(model), "doc_id long, score double")
 
 
-def with_score(docs: DataFrame, model: GatedAttention | float, text_col: str = "text", to: str = "quality_score") -> DataFrame:
-    """All columns of ``docs`` and the score; the text is sent to the workers once more beside them."""
+def keep_good(docs: DataFrame, model: GatedAttention | float, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, with all their columns."""
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))]).withColumn("text", F.col(f"c{names.index(text_col)}"))
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
-    return inner.mapInArrow(_score(model), f"{kinds}, score double").toDF(*names, to)
+    return inner.mapInArrow(_score(model), f"{kinds}, score double").filter(F.col("score") >= threshold).drop("score").toDF(*names)
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_train: int = 3000) -> DataFrame:
@@ -216,4 +216,4 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, max_tra
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-__all__ = ["GatedAttention", "classify", "held_out", "is_held_out", "passages", "score", "train", "with_score"]
+__all__ = ["GatedAttention", "classify", "held_out", "is_held_out", "keep_good", "passages", "score", "train"]
