@@ -31,7 +31,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import shared_path
+from corpusflow.llm.common import shared_path, shuffle_partitions
 
 SHARD_ROWS = 65_536
 BLOCK_QUERIES = 128
@@ -172,6 +172,8 @@ def nearest(vectors: DataFrame, is_query: Column, id_col: str = "vec_id", vector
     # more blocks than rows / BLOCK_QUERIES so that the blocks of the queries stay bounded and all cores work
     blocks = -(-n // BLOCK_QUERIES // 8) or 1
     blocked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    found = blocked.groupBy("shard", "block").applyInArrow(_search(path, k), "query_id long, vec_id long, score double")
+    # a stated number of partitions, since these few bytes are much work and would be coalesced into one task
+    spread = blocked.repartition(min(blocks * shards, 4 * shuffle_partitions(spark)), "shard", "block")
+    found = spread.groupBy("shard", "block").applyInArrow(_search(path, k), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
