@@ -50,12 +50,27 @@ class FilterFn(Component):
     def keep(self, df: DataFrame) -> Column:
         return F.when(is_missing(df, self.on), F.lit(self.if_missing)).otherwise(F.coalesce(self.predicate(df), F.lit(False)))
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        return df.filter(self.keep(df))
+    def transform(self, df: DataFrame, computed: bool = False) -> DataFrame:
+        """``computed``: an earlier step made the field. The test then stays above it: pushed
+        below, Catalyst would compute the field once more for each time the test names it."""
+        keep = self.keep(df)
+        return df.filter(keep & (F.rand(0) >= 0)) if computed else df.filter(keep)
 
     __call__ = transform
 
 
+def apply_steps(df: DataFrame, steps: list[MapFn | FilterFn]) -> DataFrame:
+    """The steps one after another, filters on source columns still pushed down to the scan."""
+    made: list[str] = []
+    for s in steps:
+        if isinstance(s, FilterFn):
+            df = s.transform(df, any(s.on == p or s.on.startswith(f"{p}.") for p in made))
+        else:
+            df = s.transform(df)
+            made.append(s.to)
+    return df
+
+
 class ReduceFn(Component):
     """An aggregate column, or for tables of their own a transform."""
 

@@ -19,7 +19,7 @@ from corpusflow.operators.gopher import STOP_WORDS
 from corpusflow.operators.models import PROFILES
 from corpusflow.operators.ocr import SHORT_WORDS
 from corpusflow.operators.pii import ENTITIES, PLACEHOLDER, iban_pattern
-from corpusflow.plans.base import FilterFn
+from corpusflow.plans.base import FilterFn, apply_steps
 from corpusflow.plans.registry import components
 from corpusflow.session import read_table
 from corpusflow.storage import shared_path
@@ -229,8 +229,8 @@ for _l in ("en", "de"):
 
 def _gopher_filter(semantics: str) -> Query:
     def run(spark, sf_dir):
-        df = step("tag", "gopher_quality", language="en").transform(docs(spark, sf_dir).filter("text <> ''"))
-        return step("filter", "gopher_quality", min_avg_word_length=3, min_stop_words=2, semantics=semantics).transform(df).select("doc_id", "lang")
+        steps = [step("tag", "gopher_quality", language="en"), step("filter", "gopher_quality", min_avg_word_length=3, min_stop_words=2, semantics=semantics)]
+        return apply_steps(docs(spark, sf_dir).filter("text <> ''"), steps).select("doc_id", "lang")
 
     return run
 
@@ -262,7 +262,7 @@ def tag_gopher_repetition(spark, sf_dir):
 
 def _then(tagger: str, kind: str, **params) -> Query:
     def run(spark, sf_dir):
-        return step("filter", kind, **params).transform(step("tag", tagger).transform(docs(spark, sf_dir))).select("doc_id", "lang")
+        return apply_steps(docs(spark, sf_dir), [step("tag", tagger), step("filter", kind, **params)]).select("doc_id", "lang")
 
     return run
 
@@ -291,7 +291,7 @@ SELECT doc_id, round(least(len(list_filter(c, lambda x : regexp_full_match(x, '\
   round(list_avg(z), 6) AS word_length_avg, round(CASE WHEN len(z) <= 1 THEN 0 ELSE list_stddev_pop(z) END, 6) AS word_length_std,
   round(len(list_filter(c, lambda x : length(x) <= 1)) / greatest(len(c), 1), 6) AS ratio_very_short_words, round(len(list_filter(c, lambda x : length(x) >= 15)) / greatest(len(c), 1), 6) AS ratio_very_long_words FROM n""")
 def tag_ocr_words(spark, sf_dir):
-    df = step("tag", "ocr_quality").transform(docs(spark, sf_dir).filter(F.length(F.trim(F.lit(" \n"), F.col("text"))) > 0))
+    df = step("tag", "ocr_quality").transform(docs(spark, sf_dir).filter(F.length(F.trim("text", F.lit(" \n"))) > 0))
     return flat(df, "metadata.ocr_quality", "doc_id").select("doc_id", *_OCR_SQL_FIELDS)
 
 
@@ -427,15 +427,14 @@ def slice_mean(spark, sf_dir):
 @query("flagship")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The default configuration's steps, in its order, on English texts (the documents hold no TEI)."""
-    df = step("ingest", "base", id_column="doc_id", text_column="text", source_name_or_column="source", subset_name_or_column="lang", license_name_or_column="unknown").transform(docs(spark, sf_dir))
     steps = (
+        ("ingest", "base", {"id_column": "doc_id", "text_column": "text", "source_name_or_column": "source", "subset_name_or_column": "lang", "license_name_or_column": "unknown"}),
         ("format", "ftfy", {}), ("format", "spacing", {"collapse_paragraph_breaks": False}), ("tag", "language", {"max_tokens": 65536}), ("tag", "token_count", {}), ("tag", "ocr_quality", {}), ("tag", "gopher_quality", {"language": "en"}), ("tag", "gopher_repetition", {}),
         ("filter", "language", {"allowed_languages": ["en"], "min_confidence": 0.5}), ("filter", "token_count", {}), ("filter", "ocr_quality", {"semantics": "corrected", "filter_mode": "maj"}),
         ("filter", "gopher_quality", {"semantics": "corrected", "min_avg_word_length": 3, "min_stop_words": 3}), ("filter", "gopher_repetition", {"semantics": "corrected", "top_n_gram_thresholds": ((2, 0.2),)}),
         ("format", "pii_regex", {"language": "en", "flag": "metadata.pii"}), ("tag", "token_count", {"to": "num_tokens"}), ("filter", "token_count", {"on": "num_tokens"}), ("tag", "perplexity", {}), ("tag", "ocroscope", {}),
     )
-    for category, kind, params in steps:
-        df = step(category, kind, **params).transform(df)
+    df = apply_steps(docs(spark, sf_dir), [step(category, kind, **params) for category, kind, params in steps])
     return df.select("id", "source", "text", "num_tokens", F.col("metadata.pii").alias("pii"), "perplexity", "ocr_quality")
 
 

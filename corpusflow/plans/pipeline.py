@@ -8,7 +8,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.operators.aggregations import Counter, aggregate
-from corpusflow.plans.base import FilterFn, MapFn
+from corpusflow.plans.base import FilterFn, MapFn, apply_steps
 from corpusflow.plans.config import PipelineConfig
 from corpusflow.plans.registry import components
 
@@ -33,14 +33,15 @@ class DataPipeline:
         if self.dataset is None:
             raise ValueError("there is no data yet: call read() first")
         common = self.config.process_kwargs | params
+        steps = []
         for s in self.config.processors:
             if not s.enabled:
                 continue
             cls = components.get(s.category, s.type)
             if not issubclass(cls, (MapFn, FilterFn)):
                 raise ValueError(f"{s.category}.{s.type} is neither a map nor a filter")
-            own = {k: v for k, v in common.items() if k in cls.model_fields} | s.params
-            self.dataset = cls(**own).transform(self.dataset)
+            steps.append(cls(**({k: v for k, v in common.items() if k in cls.model_fields} | s.params)))
+        self.dataset = apply_steps(self.dataset, steps)
         return self.dataset
 
     def write(self, **params: Any) -> None:

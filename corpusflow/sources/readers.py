@@ -85,7 +85,7 @@ class CSVReader(Reader):
         options: dict[str, Any] = {"sep": self.delimiter, "quote": '"', "escape": '"', "header": headed and not self.skiprows}
         if self.skiprows:
             # the line number in its file; a file with lines to skip is read as a whole, line by line
-            raw = spark.read.option("wholetext", True).text(paths).select(F.split("value", "\r?\n", -1).alias("l"))
+            raw = spark.read.text(paths, wholetext=True).select(F.split("value", "\r?\n", -1).alias("l"))
             at = self.skiprows + 1  # of arrays, from 1
             names = self.names or (raw.select(F.element_at("l", at)).first()[0].split(self.delimiter) if headed else None)
             rest = raw.select(F.explode(F.slice("l", F.lit(at + int(headed)), F.size("l"))).alias("v")).filter("v <> ''")
