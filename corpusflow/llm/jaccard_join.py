@@ -42,7 +42,7 @@ from corpusflow.llm.common import U64, hash_words, lists, lower_ascii, materiali
 
 BLOCK_TOKENS = 1_500_000
 COMMON = 32  # documents that hold a shingle, from which it has a place in the order's index
-TILE = 256
+TILE = 1024
 SALTS = 16
 FOREST_ROWS = 4_000_000
 COMMON_KEYS = 1 << 18
