@@ -42,7 +42,7 @@ def corpus(n=60, seed=3):
             t = line(40) + " " + r.choice(shared) + " " + line(30)
         rows.append((i, t, "en", f"s{i % 3}", len(t)))
     rows += [(n, None, None, None, None), (n + 1, "", "en", "s0", 0), (n + 2, " \t\n", "en", "s0", 3), (None, rows[0][1], "en", "s1", 1), (None, None, None, None, None)]
-    rows += [(n + 3, " ".join(line(2000) for _ in range(3)), "en", "s2", 0), rows[5], (n + 4, "one two", "en", "s0", 7), (n + 5, "One TWO", "en", "s0", 7)]
+    rows += [(n + 3, " ".join(line(2000) for _ in range(3)), "en", "s2", 0), rows[5], (5, rows[4][1] + ' ' + rows[0][1], 'en', 's0', 1), (n + 4, "one two", "en", "s0", 7), (n + 5, "One TWO", "en", "s0", 7)]
     return rows
 
 
@@ -211,6 +211,12 @@ def test_jaccard_join(docs, rows, empty):
     assert jaccard_join.similar_documents(empty).count() == 0
 
 
+def test_jaccard_join_of_rows_with_equal_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, b), (2, a + " x"), (3, b + " y"), (1, a), (0, "z")]
+    assert bag(jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_jaccard(rows)
+
+
 def test_jaccard_join_of_many_copies(spark):
     r = random.Random(9)
     base = [f"w{r.randrange(500)}" for _ in range(60)]
@@ -220,12 +226,11 @@ def test_jaccard_join_of_many_copies(spark):
         for _ in range(r.randrange(4)):
             w[r.randrange(60)] = f"x{r.randrange(99)}"
         rows.append((i, " ".join(w)))
-    old = jaccard_join.COMMON, jaccard_join.TILE
-    jaccard_join.COMMON, jaccard_join.TILE = 4, 16
+    old, jaccard_join.TILE = jaccard_join.TILE, 16
     try:
         assert bag(jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute_jaccard(rows)
     finally:
-        jaccard_join.COMMON, jaccard_join.TILE = old
+        jaccard_join.TILE = old
 
 
 def test_components(spark):
