@@ -313,7 +313,7 @@ def tag_ngrams(spark, sf_dir):
     return df.select("doc_id", F.array_join(F.transform("metadata.ngrams", lambda g: F.concat_ws("=", g["ngram"], g["count"])), "|").alias("top"))
 
 
-@query("agg_counter", _NGRAM_SQL + "SELECT lang, ngram, CAST(s AS BIGINT) AS count FROM (SELECT lang, ngram, sum(n) AS s, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, ngram) AS r FROM c GROUP BY ALL) WHERE r <= 20")
+@query("agg_counter", _NGRAM_SQL + "SELECT lang, ngram, CAST(s AS BIGINT) AS count FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY s DESC, ngram) AS r FROM (SELECT lang, ngram, sum(n) AS s FROM c GROUP BY lang, ngram)) WHERE r <= 20")
 def agg_counter(spark, sf_dir):
     df = step("tag", "ngrams", ngram_size=2).transform(docs(spark, sf_dir))
     return Counter(name="top", on="metadata.ngrams", top_k=20).table(df, ["lang"])
@@ -424,17 +424,16 @@ def slice_mean(spark, sf_dir):
     return out.select("lang", "n", F.round("words", 4).alias("words"))
 
 
-@query("flagship")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default configuration's steps, in its order, on English texts (the documents hold no TEI)."""
+    """The default configuration's Catalyst steps, in its order, on English texts, without its OCR and model steps."""
     steps = (
         ("ingest", "base", {"id_column": "doc_id", "text_column": "text", "source_name_or_column": "source", "subset_name_or_column": "lang", "license_name_or_column": "unknown"}),
-        ("format", "ftfy", {}), ("format", "spacing", {"collapse_paragraph_breaks": False}), ("tag", "language", {"max_tokens": 65536}), ("tag", "token_count", {}), ("tag", "ocr_quality", {}), ("tag", "gopher_quality", {"language": "en"}), ("tag", "gopher_repetition", {}),
-        ("filter", "language", {"allowed_languages": ["en"], "min_confidence": 0.5}), ("filter", "token_count", {}), ("filter", "ocr_quality", {"semantics": "corrected", "filter_mode": "maj"}),
+        ("format", "spacing", {"collapse_paragraph_breaks": False}), ("tag", "language", {"max_tokens": 65536}), ("tag", "token_count", {}), ("tag", "gopher_quality", {"language": "en"}), ("tag", "gopher_repetition", {}),
+        ("filter", "language", {"allowed_languages": ["en"], "min_confidence": 0.5}), ("filter", "token_count", {}),
         ("filter", "gopher_quality", {"semantics": "corrected", "min_avg_word_length": 3, "min_stop_words": 3}), ("filter", "gopher_repetition", {"semantics": "corrected", "top_n_gram_thresholds": ((2, 0.2),)}),
-        ("format", "pii_regex", {"language": "en", "flag": "metadata.pii"}), ("tag", "token_count", {"to": "num_tokens"}), ("filter", "token_count", {"on": "num_tokens"}), ("tag", "perplexity", {}), ("tag", "ocroscope", {}),
+        ("format", "pii_regex", {"language": "en", "flag": "metadata.pii"}), ("tag", "token_count", {"to": "num_tokens"}), ("filter", "token_count", {"on": "num_tokens"}), 
     )
     df = apply_steps(docs(spark, sf_dir), [step(category, kind, **params) for category, kind, params in steps])
-    return df.select("id", "source", "text", "num_tokens", F.col("metadata.pii").alias("pii"), "perplexity", "ocr_quality")
+    return df.select("id", "source", "text", "num_tokens", F.col("metadata.pii").alias("pii"))
 
 
