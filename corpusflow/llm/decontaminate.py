@@ -1,13 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Test items are taken in blocks of bounded size, so what is broadcast never grows
-with the benchmark. For a block, one pass counts in how many documents each of its
-n-grams occurs, over the whole corpus; the rarest half of an item's n-grams, and
-all that few documents hold, become its seeds (an item always has seeds, however
-widely it leaked). A second pass finds seed hits in every whole text, takes the
-window round each hit's diagonal, and aligns the item with it by Smith-Waterman
-over words: 2 for a match, -1 for a mismatch or gap. The score is divided by that
-of a perfect copy. A pair at or above ``threshold`` is a leak.
+with the benchmark. Every n-gram of an item is a seed: counts in the corpus don't
+choose among them, as a form that leaked widely would lose its seeds to n-grams
+that it broke or that only another form has. One pass a block finds seed hits in
+every whole text, leaves out items too few of whose words the text has for any
+alignment to reach ``threshold``, takes the window round each hit's diagonal, and
+aligns the item with it by Smith-Waterman over words: 2 for a match, -1 for a
+mismatch or gap. The score is divided by that of a perfect copy. A pair at or
+above ``threshold`` is a leak.
 
 Words are runs of letters, digits and underscores, lower-cased. An item with
 fewer words than the n-gram length is its own n-gram.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import U64, hash_words, lists, record, roll
+from corpusflow.llm.common import U64, hash_words, lists, roll
 
 TOKEN = re.compile(r"\w+")
 FILTER_BITS = 22
@@ -60,32 +61,16 @@ class Seeds:
         o = np.lexsort((self.pos, self.item, self.key))
         self.key, self.item, self.pos = self.key[o], self.item[o], self.pos[o]
         self.distinct = np.unique(self.key)
-        self._filter()
+        self.bits = np.zeros(1 << FILTER_BITS, bool)
+        self.bits[(self.distinct & U64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
+        self.flat = cat(self.words, np.uint64)
+        self.length = np.array([len(h) for h in self.words], np.int64)
+        self.first = np.cumsum(self.length) - self.length
 
     @staticmethod
     def grams(h: np.ndarray, size: int) -> np.ndarray:
         return roll(h, size) ^ U64(size)
 
-    def _filter(self) -> None:
-        self.bits = np.zeros(1 << FILTER_BITS, bool)
-        self.bits[(self.distinct & U64((1 << FILTER_BITS) - 1)).astype(np.int64)] = True
-
-    def keep_rare(self, df: np.ndarray, rare: int) -> None:
-        """Keep per item the rarest half of its distinct n-grams and those in at most ``rare`` documents."""
-        d = df[np.searchsorted(self.distinct, self.key)]
-        o = np.lexsort((self.key, d, self.item))
-        new = np.r_[True, (self.item[o][1:] != self.item[o][:-1]) | (self.key[o][1:] != self.key[o][:-1])] if len(o) else np.zeros(0, bool)
-        rank = np.cumsum(new)
-        ok = np.zeros(len(self.key), bool)
-        for k in range(len(self.words)):
-            rows = self.item[o] == k
-            r = rank[rows] - rank[rows][0]
-            ok[o[rows]] = r <= r[-1] // 2
-        ok |= d <= rare
-        self.key, self.item, self.pos = self.key[ok], self.item[ok], self.pos[ok]
-        self.distinct = np.unique(self.key)
-        self._filter()
-
     def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index among the distinct keys, position) of each hit in a document's word hashes."""
         at, where = [], []
@@ -137,10 +122,20 @@ def leaks(seeds: Seeds, h: np.ndarray, threshold: float) -> list[tuple[int, floa
     n = hi - lo
     entry = np.repeat(lo - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
     item, begin = seeds.item[entry], np.repeat(where, n) - seeds.pos[entry]
+    found = np.unique(item)
+    size = seeds.length[found]
+    ends = np.cumsum(size)
+    own = seeds.flat[np.repeat(seeds.first[found] - ends + size, size) + np.arange(ends[-1])]
+    held = np.add.reduceat(np.isin(own, h), ends - size, dtype=np.int64)
+    found = found[held >= threshold * size]
+    if not len(found):
+        return []
+    ok = np.isin(item, found)
+    item, begin = item[ok], begin[ok]
     o = np.lexsort((begin, item))
     item, begin = item[o], begin[o]
     out = []
-    for k in np.unique(item).tolist():
+    for k in found.tolist():
         own = seeds.words[k]
         m, starts = len(own), begin[item == k]
         slack = m // 2 + 5
@@ -160,20 +155,6 @@ def leaks(seeds: Seeds, h: np.ndarray, threshold: float) -> list[tuple[int, floa
     return out
 
 
-def _count(shared):
-    def run(batches):
-        seeds = shared.value
-        df = np.zeros(len(seeds.distinct), np.int64)
-        for b in batches:
-            for (t,) in zip(lists(b, "text")[0]):
-                at, _ = seeds.find(hash_words(tokens(t)))
-                df[np.unique(at)] += 1
-        at = np.flatnonzero(df)
-        yield record(gram=(at, pa.int64()), n=(df[at], pa.int64()))
-
-    return run
-
-
 def _leaks(shared, threshold: float):
     def run(batches):
         seeds = shared.value
@@ -188,27 +169,21 @@ def _leaks(shared, threshold: float):
     return run
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, item_id_col: str, item_text_col: str, n: int, rare: int):
-    """The seeds of each block of test items, counted over all of ``docs`` (a column ``text``)."""
+def _blocks(benchmark: DataFrame, item_id_col: str, item_text_col: str, n: int):
+    """The seeds of each block of test items."""
     items = benchmark.select(F.col(f"`{item_id_col}`").cast("long").alias("item_id"), F.col(f"`{item_text_col}`").alias("text")).filter(F.length("text") > 0)
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        seeds = Seeds([(r[0], r[1]) for r in block.orderBy("item_id", "text").toLocalIterator()], n)
-        df = np.zeros(len(seeds.distinct), np.int64)
-        counted = docs.select("text").mapInArrow(_count(docs.sparkSession.sparkContext.broadcast(seeds)), "gram long, n long")
-        for r in counted.groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():
-            df[r[0]] = r[1]
-        seeds.keep_rare(df, rare)
-        yield seeds
+        yield Seeds([(r[0], r[1]) for r in block.orderBy("item_id", "text").toLocalIterator()], n)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare: int = 50, threshold: float = 0.5) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, threshold: float = 0.5) -> DataFrame:
     """One row per (document, test item) that aligns: doc_id, item_id, score, start_word, end_word, n_seeds."""
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     out = None
-    for seeds in _blocks(d, benchmark, item_id_col, item_text_col, n, rare):
+    for seeds in _blocks(benchmark, item_id_col, item_text_col, n):
         found = d.mapInArrow(_leaks(docs.sparkSession.sparkContext.broadcast(seeds), threshold), "doc_id long, item_id long, score double, start_word long, end_word long, n_seeds long")
         out = found if out is None else out.unionByName(found)
     return out
@@ -224,12 +199,12 @@ def _without(shared, threshold: float, at: int):
     return run
 
 
-def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, rare: int = 50, threshold: float = 0.5) -> DataFrame:
+def drop_leaking(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 3, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` with which no test item aligns, with all their columns."""
     names = docs.columns
     inner = docs.toDF(*[f"c{i}" for i in range(len(names))])
     kinds = ", ".join(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields))
     at = names.index(text_col)
-    for seeds in _blocks(docs.select(F.col(f"`{text_col}`").alias("text")), benchmark, item_id_col, item_text_col, n, rare):
+    for seeds in _blocks(benchmark, item_id_col, item_text_col, n):
         inner = inner.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(seeds), threshold, at), kinds)
     return inner.toDF(*names)

@@ -416,6 +416,26 @@ def test_decontamination(spark, docs, rows, empty):
         decontaminate.BLOCK_CHARS = old
 
 
+@pytest.mark.parametrize("copies", [51, 2000])
+def test_decontamination_of_a_form_that_leaked_widely(spark, copies):
+    r = random.Random(7)
+    items = [(k, [f"i{k}w{j}" for j in range(m)]) for k, m in enumerate((18, 30, 45, 59))]
+    cut = lambda ws, at: [f"x{r.random()}" if j % 5 == at else w for j, w in enumerate(ws)]
+    fill = lambda: [f"f{r.randrange(500)}" for _ in range(20)]
+    wide = {k: cut(ws, 4) for k, ws in items}
+    data, want = [], set()
+    for i in range(copies):
+        want |= {(4 * i + k, k) for k in wide}
+        data += [(4 * i + k, " ".join(fill() + w + fill())) for k, w in wide.items()]
+    for k, ws in items:  # one document has another form, with n-grams that the wide one broke
+        data.append((-1 - k, " ".join(fill() + cut(ws, 2) + fill())))
+        want.add((-1 - k, k))
+    bench = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items], "item_id long, text string")
+    df = spark.createDataFrame(data + [(-9, " ".join(fill()))], "doc_id long, text string")
+    assert {(x["doc_id"], x["item_id"]) for x in decontaminate.find_leaks(df, bench).collect()} == want
+    assert [x["doc_id"] for x in decontaminate.drop_leaking(df, bench).collect()] == [-9]
+
+
 def test_licenses(spark, docs, rows, empty):
     fill = "some words about nothing at all that go on"
     data = [
