@@ -1,7 +1,11 @@
 """License scans: sparse TF-IDF cosine to templates, then directory inheritance.
 
 Every line of every whole text, and every run of neighbouring licence-like lines,
-is compared with the templates by the cosine of sparse TF-IDF vectors. Document
+is compared with the templates by the cosine of sparse TF-IDF vectors. So is every
+stretch of words round a cue, of up to one and a half times a template's length and
+wherever the line ends are, that starts and ends in words of the template: a notice
+is found inside a longer line. As such a stretch is cut to fit, its cosine must
+reach ``WINDOW`` if that is above the threshold. Document
 frequencies of the templates' terms come from one pass over all documents; a term
 that no template has weighs as one that no document has. Lines without a rare
 template term can't reach the threshold (checked against the templates' norms)
@@ -69,6 +73,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 LICENSE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SALTS = 16
+WINDOW = 0.8
 
 
 def flat(text: str | None) -> bytes:
@@ -121,32 +126,75 @@ class Templates:
         k = min(dot, key=lambda k: (-round(dot[k], 12), k))
         return dot[k] / math.sqrt(norm), k
 
+    def windows(self, ws: list[bytes], cues: list[int], bar: float) -> list[tuple[float, int, int, int]]:
+        """(cosine, template, first word, last word + 1) of a template's stretches round the cues, best ones first, without overlaps."""
+        out, present = [], {w for w in set(ws) if w in self.vocab}
+        for k, v in enumerate(self.vectors):
+            if sum(x * x for w, x in v.items() if w in present) < bar**2 - 1e-9:  # no stretch of this text has a larger cosine
+                continue
+            reach = len(self.rows[k][1]) * 3 // 2
+            starts = {i for c in cues if ws[c] in v for i in range(max(0, c - reach + 1), c + 1) if ws[i] in v}
+            fits = []
+            for i in starts:
+                tf: dict[bytes, int] = {}
+                dot, norm, best = 0.0, 0.0, (0.0, 0)
+                for j in range(i, min(len(ws), i + reach)):
+                    w = ws[j]
+                    c = tf.get(w, 0)
+                    tf[w] = c + 1
+                    n = self.vocab.get(w)
+                    x = self.unseen if n is None else float(self.idf[n])
+                    norm += (2 * c + 1) * x * x
+                    if w in v:
+                        dot += x * v[w]
+                        if dot / math.sqrt(norm) > best[0]:
+                            best = (dot / math.sqrt(norm), j + 1)
+                if best[0] >= bar:
+                    fits.append((best[0], k, i, best[1]))
+            taken: list[tuple[float, int, int, int]] = []
+            for f in sorted(fits, key=lambda f: (-round(f[0], 12), f[2])):
+                if all(f[3] <= t[2] or f[2] >= t[3] for t in taken):
+                    taken.append(f)
+            out += taken
+        return out
+
     def scan(self, text: str | None, threshold: float) -> tuple[str | None, float, int, int]:
         """(licence, cosine, words in licence lines, words) of a text."""
         b = flat(text)
         ws = b.split()
         if self.cues.isdisjoint(ws):
             return None, 0.0, 0, len(ws)
-        top, share, run = (0.0, -1), 0, []
+        top, run, at = (0.0, -1), [], 0
+        held, exact = bytearray(len(ws)), bytearray(len(ws))
         for line in [*b.split(b"\n"), b""]:
             own = line.split()
+            at += len(own)
             if own and not self.cues.isdisjoint(own):
                 run.append(own)
                 continue
             if run:
+                ends = np.cumsum([len(x) for x in run]) + at - len(own) - sum(map(len, run))
+                spans = [(int(e) - len(x), int(e)) for x, e in zip(run, ends)]
                 found = [self.best(x) for x in run]
                 if len(run) > 1:
                     found.append(self.best([w for x in run for w in x]))
-                    if found[-1][0] >= threshold:
-                        share += sum(map(len, run)) - sum(len(x) for x, f in zip(run, found) if f[0] >= threshold)
-                share += sum(len(x) for x, f in zip(run, found) if f[0] >= threshold)
+                    spans.append((spans[0][0], spans[-1][1]))
+                for (c, _), (i, j) in zip(found, spans):
+                    if c >= threshold:
+                        held[i:j] = b"\1" * (j - i)
+                    if c >= 1 - 1e-9:
+                        exact[i:j] = b"\1" * (j - i)
                 for c, k in found:
                     if k >= 0 and (round(c, 12), -k) > (round(top[0], 12), -top[1]):
                         top = (c, k)
                 run = []
+        for c, k, i, j in self.windows(ws, [i for i, w in enumerate(ws) if w in self.cues and not exact[i]], max(WINDOW, threshold)):
+            held[i:j] = b"\1" * (j - i)
+            if (round(c, 12), -k) > (round(top[0], 12), -top[1]):
+                top = (c, k)
         if top[0] < threshold:
             return None, top[0], 0, len(ws)
-        return self.names[top[1]], top[0], share, len(ws)
+        return self.names[top[1]], top[0], sum(held), len(ws)
 
 
 def _frequencies(t: Templates):

@@ -453,6 +453,25 @@ def test_licenses(spark, docs, rows, empty):
     assert licenses.scan_licenses(empty, F.col("source")).count() == 0
 
 
+def test_licenses_inside_a_line():
+    t = licenses.Templates(licenses.TEMPLATES)
+    df = np.full(len(t.vocab), 40)
+    for w in (b"all", b"the", b"of", b"and", b"under", b"to", b"this", b"is"):
+        df[t.vocab[w]] = 9000
+    t.weigh(df, 10000, 0.6)
+    fill = " ".join(f"word{k}" for k in range(60))
+    for name, ts in licenses.TEMPLATES.items():
+        for x in ts:
+            for text in (f"{fill} {x} {fill}", f"{fill} {x.replace(' ', chr(10), 2)} {fill}", f"{x} {fill}", f"two {x} more"):
+                own, cosine, n, _ = t.scan(text, 0.6)
+                assert own == name and cosine > 0.99 and n >= len(licenses.flat(x).split()), text
+    mit, gpl = "Released under the MIT License.", licenses.TEMPLATES["GPL-3.0"][1]
+    assert t.scan(f"{fill} {mit} {fill} {gpl}", 0.6)[2] == 5 + len(licenses.flat(gpl).split())
+    assert t.scan(f"{fill} Licensed under Apache License 2.0, {fill}", 0.6)[0] == "Apache-2.0"
+    for prose in ("all the rights of the people", "he reserved a table", "released to the public", "a permission to the copy"):
+        assert t.scan(f"{fill} {prose} {fill}", 0.6)[0] is None
+
+
 def test_license_cosine_matches_brute_force():
     import math
 
