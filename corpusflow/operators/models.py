@@ -112,7 +112,8 @@ class ByteBigrams:
 @components.add("tag", "perplexity")
 class Perplexity(MapFn):
     """Perplexity of the normalised text. The model is a byte bigram trained by a Spark job over the frame
-    itself, or one given to ``use``; it is approximate beside a word model. -1 where there is no text."""
+    itself, over whole texts, or one given to ``use``; it is approximate beside a word model. ``max_chars`` limits
+    what is scored, as in the reference, and not what is trained on. -1 where there is no text."""
 
     name: str = Field(default="perplexity")
     to: str = Field(default="perplexity")
@@ -125,8 +126,9 @@ class Perplexity(MapFn):
         return self
 
     def column(self, df: DataFrame) -> Column:
-        text = F.substring(F.coalesce(self.text(df), F.lit("")), 1, self.max_chars)
-        model = self._model or ByteBigrams.train(df.select(text.alias("text")))
+        whole = F.coalesce(self.text(df), F.lit(""))
+        model = self._model or ByteBigrams.train(df.select(whole.alias("text")))
+        text = F.substring(whole, 1, self.max_chars)
 
         @F.pandas_udf("double")
         def score(s: pd.Series) -> pd.Series:

@@ -265,6 +265,13 @@ def test_perplexity(spark):
     assert norm == 'Äb 00 0"x" ... '
 
 
+def test_perplexity_trains_on_whole_texts(spark):
+    df = spark.createDataFrame([(0, "the cat sat " + "on a zebra " * 30), (1, "the zebra")], "id int, text string")
+    whole = models.ByteBigrams.train(df)
+    got = values(step("tag", "perplexity", max_chars=11).transform(df), "perplexity")
+    assert got == [whole.perplexity("the cat sat"), whole.perplexity("the zebra")]
+
+
 def test_value_ingest_and_plain(spark):
     df = spark.createDataFrame([(1, "t", "s", ""), (None, None, None, "lic")], "key int, body string, src string, lic string")
     out = step("ingest", "base", id_column="key", text_column="body", source_name_or_column="src", subset_name_or_column="part", license_name_or_column="lic", other=["key"]).transform(df).collect()
