@@ -5,9 +5,10 @@ a smaller doc_id. Level one looks at sequences of half that length (7 words for
 13; only the least hash among those inside a window counts, so equal windows
 always agree on it): a window whose half occurs in one document alone can't be
 repeated. Only windows with a repeated half are extended to the full width, in the
-same task, since equal windows share their half and so their shard. With
-``longest`` the repeated windows are doubled on, to 2, 4, 8 ... times the width,
-until no candidate survives, and each document gets the longest repeated length.
+same task, since equal windows share their half and so their shard. That one pair
+of levels is all that ``dedup_substrings`` and its query run. ``longest_repeats``
+is separate: it doubles the repeated windows on, to 2, 4, 8 ... times the width,
+until no candidate survives, and gives each document the longest repeated length.
 
 One exchange carries the windows (6 bytes each, and 16 a run of windows with the
 same half) and one the texts. Inside a block of some million words only the
