@@ -217,8 +217,7 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS word_count, round(coalesce(list_sum(lis
 
 def _gopher(language: str) -> Query:
     def run(spark, sf_dir):
-        df = docs(spark, sf_dir).filter("text <> ''")
-        return flat(step("tag", "gopher_quality", language=language).transform(df), "metadata.gopher_quality", "doc_id")
+        return flat(step("tag", "gopher_quality", language=language).transform(docs(spark, sf_dir)), "metadata.gopher_quality", "doc_id")
 
     return run
 
@@ -230,7 +229,7 @@ for _l in ("en", "de"):
 def _gopher_filter(semantics: str) -> Query:
     def run(spark, sf_dir):
         steps = [step("tag", "gopher_quality", language="en"), step("filter", "gopher_quality", min_avg_word_length=3, min_stop_words=2, semantics=semantics)]
-        return apply_steps(docs(spark, sf_dir).filter("text <> ''"), steps).select("doc_id", "lang")
+        return apply_steps(docs(spark, sf_dir), steps).select("doc_id", "lang")
 
     return run
 
@@ -252,7 +251,7 @@ SELECT doc_id, round((len(ps) - len(list_distinct(ps))) / len(ps), 6) AS dup_par
 
 @query("tag_repetition_top", _TOP_SQL)
 def tag_repetition_top(spark, sf_dir):
-    return flat(step("tag", "gopher_repetition", dup_n_grams=()).transform(docs(spark, sf_dir).filter("text <> ''")), "metadata.gopher_repetition", "doc_id")
+    return flat(step("tag", "gopher_repetition", dup_n_grams=()).transform(docs(spark, sf_dir)), "metadata.gopher_repetition", "doc_id")
 
 
 @query("tag_gopher_repetition")
@@ -291,7 +290,7 @@ SELECT doc_id, round(least(len(list_filter(c, lambda x : regexp_full_match(x, '\
   round(list_avg(z), 6) AS word_length_avg, round(CASE WHEN len(z) <= 1 THEN 0 ELSE list_stddev_pop(z) END, 6) AS word_length_std,
   round(len(list_filter(c, lambda x : length(x) <= 1)) / greatest(len(c), 1), 6) AS ratio_very_short_words, round(len(list_filter(c, lambda x : length(x) >= 15)) / greatest(len(c), 1), 6) AS ratio_very_long_words FROM n""")
 def tag_ocr_words(spark, sf_dir):
-    df = step("tag", "ocr_quality").transform(docs(spark, sf_dir).filter(F.length(F.trim("text", F.lit(" \n"))) > 0))
+    df = step("tag", "ocr_quality").transform(docs(spark, sf_dir))
     return flat(df, "metadata.ocr_quality", "doc_id").select("doc_id", *_OCR_SQL_FIELDS)
 
 

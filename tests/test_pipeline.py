@@ -142,6 +142,18 @@ def test_entry_and_queries(spark):
 SLOW = {"tag_repetition_top"}
 
 
+@pytest.mark.parametrize("name", ["tag_gopher_quality_en", "tag_gopher_quality_de", "tag_repetition_top", "tag_ocr_words", "filter_gopher_quality_compat", "filter_gopher_quality_corrected"])
+def test_queries_keep_rows_without_text(spark, monkeypatch, name):
+    seen = []
+    rows = [(0, "en", None), (1, "en", ""), (2, "en", " \n"), (3, "en", "The cat and the dog, to be with you.")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    monkeypatch.setattr(catalog, "docs", lambda spark, sf_dir: df)
+    if name.startswith("filter"):
+        monkeypatch.setattr(catalog, "apply_steps", lambda given, steps: seen.append(given.count()) or given)
+    got = catalog.QUERIES[name](spark, DATA).collect()
+    assert sorted(r["doc_id"] for r in got) == [0, 1, 2, 3] and seen in ([], [4])
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
 def test_query_matches_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
