@@ -139,6 +139,11 @@ def format_ftfy(spark, sf_dir):
     return step("format", "ftfy").transform(df).select("id", "text")
 
 
+@query("format_ftfy_documents")
+def format_ftfy_documents(spark, sf_dir):
+    return step("format", "ftfy").transform(docs(spark, sf_dir)).select("doc_id", "text")
+
+
 _S = r"[\p{Z}\t\n\x0b\f\r\x1c-\x1f]"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)"
 _SQL_PII = {

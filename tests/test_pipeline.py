@@ -154,6 +154,16 @@ def test_queries_keep_rows_without_text(spark, monkeypatch, name):
     assert sorted(r["doc_id"] for r in got) == [0, 1, 2, 3] and seen in ([], [4])
 
 
+def test_ftfy_over_documents(spark, monkeypatch):
+    long = "Ã¼ber &amp; it " * 20000
+    df = spark.createDataFrame([(0, long), (1, None), (2, "")], "doc_id long, text string")
+    rows = catalog.QUERIES["format_ftfy_documents"](spark, DATA).count()
+    assert rows == catalog.docs(spark, DATA).count() > 0
+    monkeypatch.setattr(catalog, "docs", lambda spark, sf_dir: df)
+    got = {r["doc_id"]: r["text"] for r in catalog.QUERIES["format_ftfy_documents"](spark, DATA).collect()}
+    assert got == {0: "über & it " * 20000, 1: None, 2: ""}
+
+
 @pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
 def test_query_matches_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
