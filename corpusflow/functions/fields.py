@@ -57,6 +57,37 @@ def set_field(df: DataFrame, path: str, value: Column) -> DataFrame:
     return df.withColumn(first, _put(kind, F.col(_name(first)) if kind is not None else None, rest, value, path))
 
 
+ONCE = "_once_"  # begins the names of helper columns
+
+
+def once(df: DataFrame, **cols: Column) -> DataFrame:
+    """Further columns, each computed once a row however often it is read.
+
+    A generator of one element makes them. The optimizer neither copies expressions across it nor
+    pushes tests of its columns below it, while tests of other columns still reach the scan.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))))
+
+
+def helper(name: str) -> Column:
+    return F.col(ONCE + name)
+
+
+def with_helpers(df: DataFrame, **cols: Column) -> DataFrame:
+    """``once`` under names that no field has."""
+    return once(df, **{ONCE + n: c for n, c in cols.items()})
+
+
+def without_helpers(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith(ONCE)])
+
+
+def settle(df: DataFrame, path: str) -> DataFrame:
+    """The same frame; what lies at the first part of the path is computed once, here."""
+    first = path.split(".")[0]
+    return without_helpers(with_helpers(df, settled=F.col(_name(first))).withColumn(first, helper("settled")))
+
+
 def is_missing(df: DataFrame, path: str) -> Column:
     """What a falsy Python value is: null, '', 0, false and empty containers (NaN is there)."""
     kind, col = field_type(df.schema, path), get_field(df, path)

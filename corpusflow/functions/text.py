@@ -30,7 +30,11 @@ def split_plain(c: Column, delimiter: str) -> Column:
 
 def split_lines(c: Column) -> Column:
     """str.splitlines(): a last line end opens no line."""
-    parts = F.split(c, LINE_END, -1)
+    return lines_of(F.split(c, LINE_END, -1))
+
+
+def lines_of(parts: Column) -> Column:
+    """The lines among what lies between line ends."""
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
 
 

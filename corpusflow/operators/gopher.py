@@ -10,8 +10,8 @@ from pydantic import Field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.fields import field_type, get_field
-from corpusflow.functions.text import ASCII_PUNCT, SPACE, count_plain, ratio, split_lines, split_plain, strip
+from corpusflow.functions.fields import field_type, get_field, helper, with_helpers
+from corpusflow.functions.text import ASCII_PUNCT, LINE_END, SPACE, count_plain, lines_of, ratio, split_plain, strip
 from corpusflow.plans.base import FilterFn, MapFn, Semantics
 from corpusflow.plans.registry import components
 
@@ -33,11 +33,14 @@ class GopherQuality(MapFn):
     to: str = Field(default="metadata.gopher_quality")
     language: Literal["en", "de"] = Field(default="de")
 
-    def column(self, df: DataFrame) -> Column:
+    def prepare(self, df: DataFrame) -> DataFrame:
         t = F.coalesce(self.text(df), F.lit(""))
-        ws, lines = split_plain(t, " "), split_lines(t)
+        df = with_helpers(df, text=t, words=split_plain(t, " "), parts=F.split(t, LINE_END, -1))
+        return with_helpers(df, lines=lines_of(helper("parts")), real=F.filter(helper("words"), lambda w: w.rlike(f"[^{ASCII_PUNCT}]")))
+
+    def column(self, df: DataFrame) -> Column:
+        t, ws, lines, real = map(helper, ("text", "words", "lines", "real"))
         n = F.size(ws)
-        real = F.filter(ws, lambda w: w.rlike(f"[^{ASCII_PUNCT}]"))
         letters = F.aggregate(real, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
         share = lambda hit: F.size(F.filter(lines, hit)) / F.size(lines).cast("double")
         stops = F.array(*[F.lit(w) for w in sorted(STOP_WORDS[self.language])])
@@ -87,12 +90,17 @@ class GopherRepetition(MapFn):
     top_n_grams: tuple[int, ...] = Field(default=(2, 3, 4))
     dup_n_grams: tuple[int, ...] = Field(default=(5, 6, 7, 8, 9, 10))
 
-    def column(self, df: DataFrame) -> Column:
+    def prepare(self, df: DataFrame) -> DataFrame:
         t = F.coalesce(self.text(df), F.lit(""))
+        df = with_helpers(df, text=t, para=F.split(strip(t), "\n{2,}", -1), line=F.split(t, "\n+", -1))
+        return with_helpers(df, once_para=F.array_distinct(helper("para")), once_line=F.array_distinct(helper("line")))
+
+    def column(self, df: DataFrame) -> Column:
+        t = helper("text")
         size = F.greatest(F.length(t), F.lit(1)).cast("double")
         out = []
-        for kind, parts in (("para", F.split(strip(t), "\n{2,}", -1)), ("line", F.split(t, "\n+", -1))):
-            once = F.array_distinct(parts)
+        for kind in ("para", "line"):
+            parts, once = helper(kind), helper(f"once_{kind}")
             chars = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
             out.append(((F.size(parts) - F.size(once)) / F.size(parts).cast("double")).alias(f"dup_{kind}_frac"))
             out.append(((chars(parts) - chars(once)) / size).alias(f"dup_{kind}_char_frac"))

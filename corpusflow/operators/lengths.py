@@ -70,7 +70,7 @@ class TokenCount(MapFn):
             for s in batches:
                 there = s.notna()
                 n = pd.Series(pd.NA, index=s.index, dtype="Int64")
-                n[there] = [len(e.ids) for e in t.encode_batch_fast(s[there].tolist(), add_special_tokens=special)]
+                n.loc[there] = pd.array([len(e.ids) for e in t.encode_batch_fast(s[there].tolist(), add_special_tokens=special)], dtype="Int64")
                 yield n
 
         return count(self.text(df))

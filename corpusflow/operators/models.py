@@ -13,7 +13,8 @@ from pydantic import Field, PrivateAttr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import EDGE_L, EDGE_R, strip
+from corpusflow.functions.fields import helper, with_helpers
+from corpusflow.functions.text import WORD, strip
 from corpusflow.plans.base import MapFn
 from corpusflow.plans.registry import components
 
@@ -25,6 +26,10 @@ PROFILES = {
 }
 
 
+def _hits(words: Column, known: list[str]) -> Column:
+    return F.size(F.filter(words, lambda w: w.isin(*known))).cast("double")
+
+
 @components.add("tag", "language")
 class LanguageTagger(MapFn):
     """Names and scores of the likeliest languages. The built-in backend counts function words of four
@@ -37,9 +42,15 @@ class LanguageTagger(MapFn):
     max_tokens: int = Field(default=4096, gt=0, description="Characters that are looked at")
     confidence_threshold: float = Field(default=0.0, ge=0, le=1)
 
-    def column(self, df: DataFrame) -> Column:
+    def prepare(self, df: DataFrame) -> DataFrame:
         t = F.substring(strip(F.replace(F.coalesce(self.text(df), F.lit("")), F.lit("\n"), F.lit(" "))), 1, self.max_tokens)
-        unknown = F.struct(F.array(F.lit("unknown")).alias("names"), F.array(F.lit(0.0)).alias("scores"))
+        if self.fasttext_model_path is None:
+            df = with_helpers(df, words=F.regexp_extract_all(F.lower(t), F.lit(f"{WORD}+"), F.lit(0)))
+            df = with_helpers(df, **{lang: _hits(helper("words"), ws.split()) for lang, ws in PROFILES.items()})
+        return with_helpers(df, found=self.found(t))
+
+    def found(self, t: Column) -> Column:
+        """The likeliest languages, as structs of a score and a name."""
         if self.fasttext_model_path:
             path, k = self.fasttext_model_path, self.k
 
@@ -51,15 +62,15 @@ class LanguageTagger(MapFn):
                 for s in batches:
                     yield s.map(lambda x: [{"s": float(p), "n": n.replace("__label__", "")} for n, p in zip(*model.predict(x, k=k))] if x else [])
 
-            found = predict(t)
-        else:
-            low = F.lower(t)
-            hits = {lang: F.regexp_count(low, F.lit(f"{EDGE_L}(?:{'|'.join(ws.split())}){EDGE_R}")).cast("double") for lang, ws in PROFILES.items()}
-            total = sum(hits.values(), F.lit(0.0))
-            each = F.array(*[F.struct((h / F.greatest(total, F.lit(1.0))).alias("s"), F.lit(lang).alias("n")) for lang, h in hits.items()])
-            best = F.array_sort(each, lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["n"] < b["n"], -1).otherwise(1))
-            found = F.filter(F.slice(best, 1, self.k), lambda x: x["s"] > 0)
-        found = F.filter(found, lambda x: x["s"] >= self.confidence_threshold)
+            return F.filter(predict(t), lambda x: x["s"] >= self.confidence_threshold)
+        total = sum((helper(lang) for lang in PROFILES), F.lit(0.0))
+        each = F.array(*[F.struct((helper(lang) / F.greatest(total, F.lit(1.0))).alias("s"), F.lit(lang).alias("n")) for lang in PROFILES])
+        best = F.array_sort(each, lambda a, b: F.when(a["s"] > b["s"], -1).when(a["s"] < b["s"], 1).when(a["n"] < b["n"], -1).otherwise(1))
+        return F.filter(F.slice(best, 1, self.k), lambda x: (x["s"] > 0) & (x["s"] >= self.confidence_threshold))
+
+    def column(self, df: DataFrame) -> Column:
+        found = helper("found")
+        unknown = F.struct(F.array(F.lit("unknown")).alias("names"), F.array(F.lit(0.0)).alias("scores"))
         named = F.struct(F.transform(found, lambda x: x["n"]).alias("names"), F.transform(found, lambda x: x["s"]).alias("scores"))
         return F.when(F.size(found) > 0, named).otherwise(unknown)
 

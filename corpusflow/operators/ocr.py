@@ -8,7 +8,8 @@ from pydantic import Field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.text import EDGE_L, EDGE_R, SPACE, WORD, ratio, split_lines, split_words, strip
+from corpusflow.functions.fields import helper, with_helpers
+from corpusflow.functions.text import EDGE_L, EDGE_R, LINE_END, NOT_SPACE, SPACE, WORD, lines_of, ratio, split_words, strip
 from corpusflow.operators.gopher import _more, _Stats
 from corpusflow.plans.base import MapFn, Semantics
 from corpusflow.plans.registry import components
@@ -39,11 +40,15 @@ class OCRQuality(MapFn):
     to: str = Field(default="metadata.ocr_quality")
     semantics: Semantics = Field(default="compat")
 
-    def column(self, df: DataFrame) -> Column:
+    def prepare(self, df: DataFrame) -> DataFrame:
         t = F.coalesce(self.text(df), F.lit(""))
-        ws = split_words(t)
+        df = with_helpers(df, text=t, blank=~t.rlike(NOT_SPACE), words=split_words(t), parts=F.split(t, LINE_END, -1))
+        clean = F.filter(F.transform(helper("words"), lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")), lambda w: w != "")
+        return with_helpers(df, clean=clean, lines=F.transform(lines_of(helper("parts")), strip))
+
+    def column(self, df: DataFrame) -> Column:
+        t, ws, clean, lines = map(helper, ("text", "words", "clean", "lines"))
         n = F.size(ws)
-        clean = F.filter(F.transform(ws, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}_]", "")), lambda w: w != "")
         k = F.size(clean)
         # sums of integers, so that no lambda holds another pass over the words
         total = F.aggregate(clean, F.lit(0).cast("long"), lambda a, w: a + F.length(w))
@@ -54,7 +59,6 @@ class OCRQuality(MapFn):
         case = _count(t, f"{EDGE_L}[a-z]+[A-Z][a-z]*{EDGE_R}") + _count(t, f"{EDGE_L}[a-zA-Z]*[a-z][A-Z][a-zA-Z]*{EDGE_R}")
         alpha = F.size(F.filter(ws, lambda w: w.rlike(r"^\p{L}+$")))
         lone = F.filter(clean, lambda w: w.rlike(r"^\p{L}$") | (w.rlike(r"^\p{L}{2}$") & ~F.lower(w).isin(*SHORT_WORDS)))
-        lines = F.transform(split_lines(t), strip)
         artifact = F.filter(lines, lambda x: (x != "") & ((F.length(x) <= 2) | x.rlike(rf"^[^\p{{L}}\p{{N}}_\p{{Z}}\s]+$|^{_D}+$|(?i)^[IVX]+$|^Page{SPACE}+{_D}+")))
         first = "d" if self.semantics == "compat" else _D
         numeric = F.filter(ws, lambda w: (w.rlike(rf"[a-zA-Z]{_D}|{first}[a-zA-Z]") & ~w.rlike(rf"(?i)^{_D}+(?:st|nd|rd|th)$")) | w.rlike(rf"{_D}[a-zA-Z]+{_D}"))
@@ -63,7 +67,7 @@ class OCRQuality(MapFn):
             _capped(spacing, n), F.when(alpha == 0, F.lit(0.0)).otherwise(_capped(case, alpha)), _capped(F.size(lone), n), _capped(F.size(artifact), F.size(lines)), _capped(_count(t, ODD_CHARS), F.length(t)),
             _capped(repeated, F.length(t)), _capped(F.size(numeric), n), mean, std, ratio(F.size(F.filter(clean, lambda w: F.length(w) <= 1)), k), ratio(F.size(F.filter(clean, lambda w: F.length(w) >= 15)), k),
         )
-        return F.struct(*[F.when(strip(t) == "", F.lit(0.0)).otherwise(c).alias(m) for m, c in zip(METRICS, values)])
+        return F.struct(*[F.when(helper("blank"), F.lit(0.0)).otherwise(c).alias(m) for m, c in zip(METRICS, values)])
 
 
 @components.add("filter", "ocr_quality")
@@ -113,9 +117,13 @@ class OCRRate(MapFn):
     to: str = Field(default="ocr_quality")
     max_chars: int = Field(default=2**16, gt=0, description="Characters that are looked at")
 
-    def column(self, df: DataFrame) -> Column:
+    def prepare(self, df: DataFrame) -> DataFrame:
         t = F.regexp_replace(F.coalesce(self.text(df), F.lit("")), r"[\x00-\x08\x0b-\x1f]", "")
-        lines = F.filter(F.split(F.substring(t, 1, self.max_chars), "\n"), lambda x: strip(x) != "")
+        lines = F.filter(F.split(F.substring(t, 1, self.max_chars), "\n"), lambda x: x.rlike(NOT_SPACE))
+        return with_helpers(df, lines=lines)
+
+    def column(self, df: DataFrame) -> Column:
+        lines = helper("lines")
         good = lambda x: F.size(F.filter(split_words(x), lambda w: w.rlike(r"""^["'(„«]*\p{L}{2,20}(?:[-'’]\p{L}+)*[.,;:!?)"'“»]*$""")))
         bad = F.filter(lines, lambda x: good(x) * 2 < F.size(split_words(x)))
         return F.when(F.size(lines) == 0, F.lit(-1.0)).otherwise(F.size(bad) / F.greatest(F.size(lines), F.lit(1)).cast("double"))

@@ -11,7 +11,7 @@ from pydantic import Field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.fields import get_field, set_field
+from corpusflow.functions.fields import get_field, helper, set_field, with_helpers, without_helpers
 from corpusflow.functions.text import SPACE
 from corpusflow.plans.base import MapFn, Semantics
 from corpusflow.plans.registry import components
@@ -104,11 +104,11 @@ def patterns(digit: str = r"\p{Nd}", space: str = SPACE, semantics: Semantics =
     start = r"\x08" if semantics == "compat" else r"(?<![\p{L}\p{N}_])"
     inner = r"\((?:[^\s()<>]+|\([^\s()<>]+\))*\)"
     return {
-        "CREDIT_CARD": rf"(?<![\p{{L}}\p{{N}}_])(?:{digit}{{4}}(?:-|{space})?){{3}}{digit}{{4}}(?![\p{{L}}\p{{N}}_])",
-        "IBAN_CODE": iban_pattern(digit, space),
+        "CREDIT_CARD": rf"(?={digit})(?<![\p{{L}}\p{{N}}_])(?:{digit}{{4}}(?:-|{space})?){{3}}{digit}{{4}}(?![\p{{L}}\p{{N}}_])",
+        "IBAN_CODE": f"(?=[A-Z]{{2}}{digit})(?:{iban_pattern(digit, space)})",
         "EMAIL_ADDRESS": rf"(?:[{around}]|{space})*({not_in}@]+@{not_in}@,?!;:)(]+?)(?:[{around}]|{space})?{space}",
         "PHONE_NUMBER": rf"{space}+\(?({digit}{{3}})\)?[-. ]*({digit}{{3}})[-. ]?({digit}{{4}})",
-        "IP_ADDRESS": rf"(?:{octet}\.){{3}}{octet}",
+        "IP_ADDRESS": rf"(?=[0-9])(?:{octet}\.){{3}}{octet}",
         "URL": rf"(?i){start}(?:https?://|www{digit}{{0,3}}[.]|[a-z0-9.-]+[.][a-z]{{2,4}}/)(?:[^\s()<>]+|{inner})+(?:{inner}|[^\s`!()\[\]{{}};:'\".,<>?«»“”‘’])",
     }
 
@@ -126,19 +126,21 @@ class RegexPII(_Masking):
     semantics: Semantics = Field(default="compat")
 
     def masked(self, text: Column) -> Column:
-        every = patterns(semantics=self.semantics)
+        every, source = patterns(semantics=self.semantics), text
         for e in ENTITIES:
             if e in self.entity_types:
-                text = F.regexp_replace(text, every[e], "" if self.anonymization_method == "redact" else PLACEHOLDER[self.language][e])
+                new = F.regexp_replace(text, every[e], "" if self.anonymization_method == "redact" else PLACEHOLDER[self.language][e])
+                text = F.when(F.contains(source, F.lit("@")), new).otherwise(text) if e == "EMAIL_ADDRESS" else new
         return text
 
     def transform(self, df: DataFrame) -> DataFrame:
         text = self.text(df)
         new = self.masked(text)
-        out = df.withColumn("_masked", new)
-        if self.flag:
-            out = set_field(out, self.flag, ~get_field(out, self.on).eqNullSafe(F.col("_masked")))
-        return set_field(out, self.to, F.col("_masked")).drop("_masked")
+        if not self.flag:
+            return set_field(df, self.to, new)
+        out = with_helpers(df, masked=new)
+        out = set_field(out, self.flag, ~get_field(out, self.on).eqNullSafe(helper("masked")))
+        return without_helpers(set_field(out, self.to, helper("masked")))
 
     __call__ = transform
 

@@ -8,7 +8,7 @@ from pydantic import BaseModel, ConfigDict, Field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.functions.fields import get_field, is_missing, set_field
+from corpusflow.functions.fields import get_field, is_missing, set_field, settle, without_helpers
 
 Semantics = Literal["compat", "corrected"]
 
@@ -24,14 +24,20 @@ class MapFn(Component):
     on: str | None = Field(default="text", description="Field that is read")
     to: str = Field(default="text", description="Field that is written")
 
+    def prepare(self, df: DataFrame) -> DataFrame:
+        """The frame with the helper columns that ``column`` reads more than once."""
+        return df
+
     def column(self, df: DataFrame) -> Column:
+        """The value, over a prepared frame."""
         raise NotImplementedError
 
     def text(self, df: DataFrame) -> Column:
         return get_field(df, self.on).cast("string")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return set_field(df, self.to, self.column(df))
+        ready = self.prepare(df)
+        return without_helpers(set_field(ready, self.to, self.column(ready)))
 
     __call__ = transform
 
@@ -48,26 +54,30 @@ class FilterFn(Component):
         raise NotImplementedError
 
     def keep(self, df: DataFrame) -> Column:
-        return F.when(is_missing(df, self.on), F.lit(self.if_missing)).otherwise(F.coalesce(self.predicate(df), F.lit(False)))
+        """A plain disjunction or conjunction, whose parts can reach the scan; a null drops the row."""
+        gone = is_missing(df, self.on)
+        return gone | self.predicate(df) if self.if_missing else ~gone & self.predicate(df)
 
-    def transform(self, df: DataFrame, computed: bool = False) -> DataFrame:
-        """``computed``: an earlier step made the field. The test then stays above it: pushed
-        below, Catalyst would compute the field once more for each time the test names it."""
-        keep = self.keep(df)
-        return df.filter(keep & (F.rand(0) >= 0)) if computed else df.filter(keep)
+    def transform(self, df: DataFrame) -> DataFrame:
+        return df.filter(self.keep(df))
 
     __call__ = transform
 
 
+def _reads(step: MapFn | FilterFn, path: str) -> bool:
+    return step.on is None or step.on.split(".")[0] == path.split(".")[0]
+
+
 def apply_steps(df: DataFrame, steps: list[MapFn | FilterFn]) -> DataFrame:
-    """The steps one after another, filters on source columns still pushed down to the scan."""
-    made: list[str] = []
-    for s in steps:
-        if isinstance(s, FilterFn):
-            df = s.transform(df, any(s.on == p or s.on.startswith(f"{p}.") for p in made))
-        else:
-            df = s.transform(df)
-            made.append(s.to)
+    """The steps one after another.
+
+    What a step makes and a later one reads is computed once, and tests of it stay above it; tests of
+    source columns are still pushed down to the scan. The plan grows with the number of steps alone.
+    """
+    for i, s in enumerate(steps):
+        df = s.transform(df)
+        if isinstance(s, MapFn) and any(_reads(t, s.to) for t in steps[i + 1 :]):
+            df = settle(df, s.to)
     return df
 
 

@@ -102,10 +102,10 @@ def extract_tei(spark, sf_dir):
 # sources and sinks
 
 
-def _round_trip(kind: str, columns: str, **params) -> Query:
+def _round_trip(kind: str, columns: str, table: str = "customer", **params) -> Query:
     def run(spark, sf_dir):
         path = shared_path(spark, f"trip-{kind}")
-        df = read_table(spark, sf_dir, "customer").selectExpr(*columns.split(", "))
+        df = read_table(spark, sf_dir, table).selectExpr(*columns.split(", "))
         step("writer", kind).__call__(df, path)
         return step("reader", kind, **params)(spark, path).selectExpr(*columns.split(", "))
 
@@ -117,6 +117,10 @@ query("round_trip_parquet", f"SELECT {_CUSTOMER} FROM customer")(_round_trip("pa
 query("round_trip_jsonl", f"SELECT {_CUSTOMER} FROM customer")(_round_trip("jsonl", _CUSTOMER))
 query("round_trip_csv", f"SELECT {_CUSTOMER} FROM customer")(_round_trip("csv", _CUSTOMER, dtype={"c_custkey": "int64", "c_nationkey": "int", "c_acctbal": "float64"}))
 
+_DOCUMENT = "doc_id, text, lang, source, n_chars"
+query("round_trip_csv_documents", f"SELECT {_DOCUMENT} FROM documents")(_round_trip("csv", _DOCUMENT, "documents", dtype={"doc_id": "int64", "n_chars": "int64"}))
+query("round_trip_jsonl_documents", f"SELECT {_DOCUMENT} FROM documents")(_round_trip("jsonl", _DOCUMENT, "documents"))
+
 
 @query("read_text", "SELECT c_name AS text FROM customer")
 def read_text(spark, sf_dir):
@@ -421,23 +425,45 @@ def agg_unique(spark, sf_dir):
 
 @query("slice_ingest_length_filter_mean", """SELECT lang, count(*) AS n, round(avg(w), 4) AS words FROM (SELECT lang, len(list_filter(string_split(text, ' '), lambda x : trim(x, ' ' || chr(10)) <> '')) AS w FROM documents) WHERE w >= 50 GROUP BY lang""")
 def slice_mean(spark, sf_dir):
-    df = step("ingest", "base", id_column="doc_id", text_column="text", source_name_or_column="source", other=["lang"]).transform(docs(spark, sf_dir))
-    df = step("tag", "length").transform(df)
-    df = step("filter", "value", on="metadata.length.word_count", value=50, comparator="gte", if_missing=False, semantics="corrected").transform(df)
+    steps = [step("ingest", "base", id_column="doc_id", text_column="text", source_name_or_column="source", other=["lang"]), step("tag", "length"),
+             step("filter", "value", on="metadata.length.word_count", value=50, comparator="gte", if_missing=False, semantics="corrected")]
+    df = apply_steps(docs(spark, sf_dir), steps)
     out = aggregate(df, [step("aggregation", "count", name="n", on="id"), step("aggregation", "mean", name="words", on="metadata.length.word_count")], "lang")
     return out.select("lang", "n", F.round("words", 4).alias("words"))
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The default configuration's Catalyst steps, in its order, on English texts, without its OCR and model steps."""
-    steps = (
+def default_steps(language: str = "en") -> list:
+    """The nineteen steps of the reference's default configuration, in its order; filters with their evident intent."""
+    c = {"semantics": "corrected"}
+    return [step(category, kind, **params) for category, kind, params in (
         ("ingest", "base", {"id_column": "doc_id", "text_column": "text", "source_name_or_column": "source", "subset_name_or_column": "lang", "license_name_or_column": "unknown"}),
-        ("format", "spacing", {"collapse_paragraph_breaks": False}), ("tag", "language", {"max_tokens": 65536}), ("tag", "token_count", {}), ("tag", "gopher_quality", {"language": "en"}), ("tag", "gopher_repetition", {}),
-        ("filter", "language", {"allowed_languages": ["en"], "min_confidence": 0.5}), ("filter", "token_count", {}),
-        ("filter", "gopher_quality", {"semantics": "corrected", "min_avg_word_length": 3, "min_stop_words": 3}), ("filter", "gopher_repetition", {"semantics": "corrected", "top_n_gram_thresholds": ((2, 0.2),)}),
-        ("format", "pii_regex", {"language": "en", "flag": "metadata.pii"}), ("tag", "token_count", {"to": "num_tokens"}), ("filter", "token_count", {"on": "num_tokens"}), 
-    )
-    df = apply_steps(docs(spark, sf_dir), [step(category, kind, **params) for category, kind, params in steps])
-    return df.select("id", "source", "text", "num_tokens", F.col("metadata.pii").alias("pii"))
-
-
+        ("extract", "tei", {}), ("format", "ftfy", {}), ("format", "spacing", {}), ("tag", "language", {"max_tokens": 65536}), ("tag", "token_count", {}), ("tag", "ocr_quality", {}),
+        ("tag", "gopher_quality", {"language": language}), ("tag", "gopher_repetition", {}), ("filter", "language", {"allowed_languages": [language], "min_confidence": 0.5}), ("filter", "token_count", {}),
+        ("filter", "ocr_quality", c | {"filter_mode": "lenient"}), ("filter", "gopher_quality", c | {"min_avg_word_length": 3, "min_stop_words": 2}), ("filter", "gopher_repetition", c | {"top_n_gram_thresholds": ((2, 0.2),)}),
+        ("format", "pii_regex", {"language": language, "flag": "metadata.pii"}), ("tag", "token_count", {"to": "num_tokens"}), ("filter", "token_count", {"on": "num_tokens"}), ("tag", "perplexity", {}), ("tag", "ocroscope", {}),
+    )]
+
+
+@query("flagship")
+def flagship(spark, sf_dir):
+    """The default configuration over documents, each wrapped as a TEI text, since its extractor reads TEI."""
+    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    clean = F.regexp_replace(escaped, r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "")  # not allowed in XML
+    tei = F.concat(F.lit("<TEI><text><body><p>"), clean, F.lit("</p></body></text></TEI>"))
+    df = apply_steps(docs(spark, sf_dir).withColumn("text", tei), default_steps())
+    return df.select("id", "source", "text", "num_tokens", F.col("metadata.pii").alias("pii"), "perplexity", "ocr_quality")
+
+
+_SPACED = r"SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[ \t]+', ' ', 'g'), '\n\n\n+', chr(10) || chr(10), 'g'), '([\p{L}\p{N}_])-\s*\n\s*([\p{L}\p{N}_])', '\1\2', 'g'), '  +', ' ', 'g') AS text) FROM main.documents"
+
+
+@query("flagship_native", f"""WITH documents AS ({_SPACED})
+SELECT doc_id, name AS language, score, word_count, stop_word_count, avg_word_length FROM ({_gopher_sql("en")}) JOIN ({_language_sql(_LANGUAGE_HITS)}) USING (doc_id)
+WHERE name = 'en' AND score >= 0.5 AND NOT (stop_word_count < 2 OR 1 - alpha_word_ratio > 0.99 OR ellipsis_line_ratio > 0.3 OR bullet_line_ratio > 0.7 OR avg_word_length > 7.3 OR avg_word_length < 3 OR ellipsis_ratio > 0.1 OR hash_ratio > 0.1)""")
+def flagship_native(spark, sf_dir):
+    """The chain's part that SQL can express: spacing, language and quality tags, and the filters on them."""
+    steps = [step("format", "spacing", collapse_paragraph_breaks=False), step("tag", "language"), step("tag", "gopher_quality", language="en"), step("filter", "language", allowed_languages=["en"], min_confidence=0.5),
+             step("filter", "gopher_quality", semantics="corrected", min_avg_word_length=3, min_stop_words=2)]
+    df = apply_steps(docs(spark, sf_dir), steps)
+    g = "metadata.gopher_quality."
+    return df.select("doc_id", F.col("metadata.language.names")[0].alias("language"), F.round(F.col("metadata.language.scores")[0], 6).alias("score"), g + "word_count", g + "stop_word_count", F.round(g + "avg_word_length", 6).alias("avg_word_length"))

@@ -30,7 +30,7 @@ class SparkConfig(BaseModel):
     num_cpus_per_task: float = Field(default=1.0, gt=0, description="spark.task.cpus; set when the session starts")
     memory_per_task_mb: int | None = Field(default=None, gt=0, description="Accepted; executors set memory")
     batch_size: int | None = Field(default=None, gt=0, description="spark.sql.execution.arrow.maxRecordsPerBatch")
-    min_rows_per_file: int | None = Field(default=None, gt=0, description="Rows a written file has at least")
+    min_rows_per_file: int | None = Field(default=None, gt=0, description="Merge small output files (a hint: Spark sizes them in bytes)")
     conf: dict[str, str] = Field(default_factory=dict, description="Further Spark settings")
 
     def settings(self) -> dict[str, str]:

@@ -52,7 +52,7 @@ class DataPipeline:
             raise ValueError("the configuration has no output")
         df, conf = self.dataset, self.config.spark_config
         if conf.min_rows_per_file:
-            df = df.coalesce(max(1, min(df.rdd.getNumPartitions(), df.count() // conf.min_rows_per_file)))
+            df = df.hint("rebalance")  # small partitions are merged when their sizes are known; nothing is computed to count rows
         if conf.concurrency:
             df = df.coalesce(conf.concurrency)
         components.get("writer", c.format)(**(c.params | params))(df, c.path)

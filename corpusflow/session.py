@@ -43,5 +43,15 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's Parquet tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's Parquet tables, on all cores even if it is one small file."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores.
+
+    Only a scan of fewer partitions is shuffled, so never one of a large table; filters and
+    column pruning still reach the scan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().executedPlan().execute().getNumPartitions() >= cores else df.repartition(cores)

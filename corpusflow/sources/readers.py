@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import csv
 import os
 from typing import Any
 
+import pyarrow as pa
 from pydantic import Field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -71,6 +73,23 @@ class JSONLReader(Reader):
         return reader.json(paths)
 
 
+def _after(skip: int):
+    """The lines of each file but the first ones; the lines of a split come in order and in one task."""
+
+    def run(batches):
+        own, seen = None, 0
+        for b in batches:
+            keep = []
+            for path, start in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                if (path, start) != own:
+                    own, seen = (path, start), 0
+                seen += 1
+                keep.append(start > 0 or seen > skip)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], names=["v"])
+
+    return run
+
+
 @components.add("reader", "csv")
 class CSVReader(Reader):
     delimiter: str = Field(default=",", description="Field separator")
@@ -78,21 +97,22 @@ class CSVReader(Reader):
     names: list[str] | None = Field(default=None, description="Column names")
     dtype: dict[str, str] | None = Field(default=None, description="Types by column")
     usecols: list[str] | None = Field(default=None, description="Columns to keep")
-    skiprows: int | None = Field(default=None, ge=0, description="Lines of each file to skip first")
+    skiprows: int | None = Field(default=None, ge=0, description="Lines of each file to skip first; a record is then a line")
+    multi_line: bool = Field(default=True, description="Whether fields may hold line ends; without it large files are split among tasks")
 
     def load(self, spark: SparkSession, paths: list[str]) -> DataFrame:
         headed = self.header is not None and self.header is not False
-        options: dict[str, Any] = {"sep": self.delimiter, "quote": '"', "escape": '"', "header": headed and not self.skiprows}
+        # an unquoted empty field is null, a quoted one is an empty string
+        options: dict[str, Any] = {"sep": self.delimiter, "quote": '"', "escape": '"', "multiLine": self.multi_line, "emptyValue": "", "nullValue": "\0"}
         if self.skiprows:
-            # the line number in its file; a file with lines to skip is read as a whole, line by line
-            raw = spark.read.text(paths, wholetext=True).select(F.split("value", "\r?\n", -1).alias("l"))
-            at = self.skiprows + 1  # of arrays, from 1
-            names = self.names or (raw.select(F.element_at("l", at)).first()[0].split(self.delimiter) if headed else None)
-            rest = raw.select(F.explode(F.slice("l", F.lit(at + int(headed)), F.size("l"))).alias("v")).filter("v <> ''")
-            names = names or [f"_c{i}" for i in range(len(rest.first()[0].split(self.delimiter)))]
-            df = rest.select(F.from_csv("v", ", ".join(f"`{n}` string" for n in names), {"sep": self.delimiter}).alias("r")).select("r.*")
+            lines = spark.read.text(paths)
+            top = [r[0] for r in spark.read.text(lines.inputFiles()[0]).head(self.skiprows + 1)]
+            first = next(csv.reader(top[self.skiprows :], delimiter=self.delimiter), [])
+            names = self.names or (first if headed else [f"_c{i}" for i in range(len(first))])
+            rest = lines.select("value", "_metadata.file_path", "_metadata.file_block_start").mapInArrow(_after(self.skiprows + headed), "v string").filter("v <> ''")
+            df = rest.select(F.from_csv("v", ", ".join(f"`{n}` string" for n in names), {k: str(v) for k, v in options.items()}).alias("r")).select("r.*")
         else:
-            df = spark.read.options(**options).csv(paths)
+            df = spark.read.options(header=headed, **options).csv(paths)
             df = df.toDF(*self.names) if self.names else df
         for c, kind in (self.dtype or {}).items():
             df = df.withColumn(c, F.col(f"`{c}`").cast(_KINDS.get(kind, kind)))

@@ -68,4 +68,4 @@ class CSVWriter(Writer):
         nested = (T.StructType, T.ArrayType, T.MapType)
         df = df.select(*[(F.to_json(F.col(f"`{f.name}`")) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`")).alias(f.name) for f in df.schema])
         df = df.toDF(*self.header) if self.header else df
-        self.writer(df).options(sep=self.delimiter, header=self.include_header, escape=self.escape_char, quote=self.quote_char).csv(path)
+        self.writer(df).options(sep=self.delimiter, header=self.include_header, escape=self.escape_char, quote=self.quote_char, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)

@@ -229,6 +229,14 @@ def test_ngrams_and_counter(spark, df):
     assert lengths.ngram_counts(None, 2, None) == []
 
 
+def test_token_counts_of_batches_with_and_without_nulls(spark):
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    tok = pytest.importorskip("tokenizers").Tokenizer.from_file(path)
+    for rows in ([(1, "some words"), (2, "")], [(1, "some words"), (2, None)], [(1, None), (2, None)]):
+        df = step("tag", "token_count", pretrained_tokenizer_name_or_path=path).transform(spark.createDataFrame(rows, "id int, text string").coalesce(1))
+        assert values(df, "metadata.token_count") == [None if t is None else len(tok.encode(t, add_special_tokens=False).ids) for _, t in rows]
+
+
 def test_token_counts(df):
     import os
 

@@ -104,6 +104,27 @@ def test_readers(spark, tmp_path):
         reader("text")(spark, "gopher://x/y")
 
 
+def test_csv_of_texts(spark, tmp_path):
+    rows = [(1, "a\nb"), (2, ""), (3, None), (4, 'say "x", y\r\nz \\'), (5, " lead and trail "), (6, '"'), (7, "tab\tü")]
+    writer("csv")(spark.createDataFrame(rows, "i int, t string").repartition(3), str(tmp_path / "c"))
+    assert sorted(tuple(r) for r in reader("csv", dtype={"i": "int32"})(spark, str(tmp_path / "c")).collect()) == rows
+    for k in range(3):  # lines to skip in each of several files
+        (tmp_path / f"s{k}.csv").write_text("junk\n\nx,y\n" + "".join(f"{k},v{j}\n" for j in range(4)))
+    got = reader("csv", skiprows=2)(spark, str(tmp_path / "s*.csv"))
+    assert got.columns == ["x", "y"] and sorted(tuple(r) for r in got.collect()) == [(str(k), f"v{j}") for k in range(3) for j in range(4)]
+
+
+def test_steps_are_computed_once_and_source_filters_reach_the_scan(spark):
+    df = spark.read.parquet(f"{DATA}/documents.parquet")
+    steps = [components.get("tag", "length")(), components.get("filter", "value")(on="metadata.length.word_count", value=5, comparator="gt", if_missing=False, semantics="corrected"), components.get("filter", "value")(on="lang", value="en", if_missing=False, semantics="corrected")]
+    out = apply_steps(df, steps)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(lang,en)" in plan or "EqualNullSafe(lang,en)" in plan
+    assert 0 < out.count() < df.count()
+    long = apply_steps(df, [components.get("format", "spacing")(), components.get("tag", "gopher_quality")(language="en")] * 4)
+    assert len(long._jdf.queryExecution().optimizedPlan().toString()) < 200_000  # grows with the steps, not as a power of them
+
+
 def test_writers(spark, tmp_path):
     df = spark.createDataFrame([(1, "ä", [1, 2]), (2, None, [])], "i int, s string, a array<int>")
     writer("parquet", partition_cols="i", compression="zstd", row_group_size=1 << 20)(df, str(tmp_path / "p"))
