@@ -6,62 +6,30 @@ compares documents by id. A null text counts as an empty one.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.storage import materialize, shared_dir, shared_path
+
 U64 = np.uint64
 MIX1, MIX2, GOLD = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
 WORD_RE = r"[^\x20\x09-\x0D]+"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; only a local master gets one of its own.
-
-    The operators keep intermediate tables there, so that a lost executor costs
-    a reread and not a recomputation. On a cluster the setting must be there: a
-    machine's own temporary folder can't be read by the other machines.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not hasattr(sc, "_corpusflow_shared"):
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc._corpusflow_shared = tempfile.mkdtemp(prefix="corpusflow-shared-")
-    return sc._corpusflow_shared
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the context has ended; the folder is the cluster's to clean
-        pass
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_forget, spark, path)
-    return path
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back: cuts lineage, survives executors."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def filesystem(path: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path that Spark understands, for the workers, and the path in it."""
+    if path.startswith(("s3a://", "s3n://")):
+        path = "s3://" + path.split("://", 1)[1]
+    elif path.startswith("file:") and not path.startswith("file://"):
+        path = "file://" + path[5:]
+    return pafs.FileSystem.from_uri(path)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

@@ -3,23 +3,25 @@
 Finds every pair of documents whose sets of 3-word shingles have a Jaccard
 similarity of at least ``threshold`` percent, exactly. The steps:
 
-1. One pass hashes each document's shingles. Blocks of documents send their
-   distinct shingle hashes (6 bytes each) to shards; a shard tells how many of a
-   document's shingles occur in another document. A document with fewer than the
-   threshold's share of such shingles can't have a partner and ends here.
+1. Blocks of documents keep their sets as files; a tally (``blocks``) tells how
+   widely each shingle is held. A document with fewer shingles than the
+   threshold's share that others hold too can't have a partner and ends here.
    Documents with equal sets (128-bit digest) form a class; one stands for all.
-2. The representatives' sets are written once. Shingles that many documents hold
-   are in a sharded minimal perfect hash, which gives each set the same order of
-   shingles, rare ones first; the prefix that any partner must touch (set size less
-   the least overlap, plus one) goes to shards of shingles. There, pairs whose
-   sizes and prefix positions still allow the overlap become candidates.
-3. Sets lie in tiles by size band and least hash, large tiles split to a bounded
-   size; candidates are grouped by tile pair, so that a set is sent once a group
-   and not once a pair. In a group, hashed bitmaps bound the overlap from above by
-   bit counts; what passes is intersected exactly as sorted arrays.
-4. Links between classes are joined into components by union-find over partitions.
-
-Classes aren't expanded into pairs; hot shingles shrink to one entry a block.
+2. A set's prefix, rare shingles first, is what any partner must touch (set size
+   less the least overlap, plus one). Sets that share a shingle of their prefixes
+   and whose sizes allow a link are chained in order of size; what hangs together
+   is a field, outside which no set has a partner.
+3. Sets lie in tiles by field and size band, of bounded size. Pairs of tiles whose
+   bands allow a link are the units of comparison: a set is sent once to each unit
+   of its tile, most often one. In a unit, hashed bitmaps bound every pair's overlap
+   from above by bit counts; pairs that pass are intersected exactly, as sorted
+   arrays.
+4. A unit returns each set's number of linked documents and a spanning forest of its
+   links, not the links. Forests are joined into components by labels that pass
+   along links and jump, over any number of partitions.
+
+Classes aren't expanded into pairs, and pairs aren't shuffled. Shards, units and
+partitions are in proportion to the input's size.
 
 Defined cases: null or empty texts have no shingle and no link; a null doc_id
 takes no part (n_similar 0, component_id null); rows with equal ids are separate
@@ -32,29 +34,35 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm import mph
-from corpusflow.llm.common import U64, hash_words, lists, lower_ascii, materialize, mix, record, roll, shared_path, shuffle_partitions, words
+from corpusflow.llm import blocks
+from corpusflow.llm.common import U64, hash_words, lower_ascii, materialize, mix, record, roll, shared_path, words
 
-BLOCK_TOKENS = 1_500_000
-COMMON = 32  # documents that hold a shingle, from which it has a place in the order's index
-TILE = 1024
-SALTS = 16
-FOREST_ROWS = 4_000_000
-COMMON_KEYS = 1 << 18
+TILE = 512
+UNIT_BYTES = 16_000_000
+BAND = 1.25
+BITS = 2048
 
 
 def shingle_hashes(text: str | None, n: int = 3) -> np.ndarray:
     """The distinct n-word shingles of a text as sorted 64-bit hashes."""
-    ws = words(text)
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = hash_words(lower_ascii(b" ".join(ws)).split())
-    return np.unique(mix(roll(h, min(n, len(h))) ^ U64(min(n, len(h)))))
+    return block_shingles([text], n)[0]
+
+
+def block_shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
+    """The shingle sets of a block of texts; a text of fewer words is one shingle."""
+    ws = [lower_ascii(b" ".join(words(t))).split() for t in texts]
+    h = hash_words([w for x in ws for w in x])
+    whole = mix(roll(h, n) ^ U64(n))
+    out, at = [], 0
+    for x in ws:
+        k = len(x)
+        out.append(np.unique(whole[at : at + k - n + 1]) if k >= n else mix(roll(h[at : at + k], k) ^ U64(k)) if k else np.zeros(0, np.uint64))
+        at += k
+    return out
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -67,304 +75,132 @@ def least_overlap(a, b, threshold: int):
     return -(-threshold * (a + b) // (100 + threshold))
 
 
-_FIRST = "shard int, doc_id long, d1 long, d2 long, n int, own int, tokens binary, ords binary, many binary, times binary, digests binary"
-_COUNTED = "kind int, doc_id long, d1 long, d2 long, n int, own int"
-
-
-def _rows(rows: int, schema: str, /, **cols) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(cols[c], kinds[k]) if c in cols else pa.nulls(rows, kinds[k]) for c, k in fields], names=[c for c, _ in fields])
-
-
-def _send(n: int, shards: int):
-    def block(held):
-        sets = [s for _, s, _ in held]
-        size = np.array([len(s) for s in sets], np.int64)
-        tok = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), size)
-        o = np.argsort(tok, kind="stable")
-        t, w = tok[o], owner[o]
-        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
-        times = np.diff(np.r_[first, len(t)])
-        several = np.repeat(times > 1, times)
-        own = np.bincount(w[several], minlength=len(sets))
-        dg = np.array([d for _, _, d in held], np.int64).reshape(-1, 2)
-        yield _rows(len(held), _FIRST, shard=np.arange(len(held)) % shards, doc_id=[i for i, _, _ in held], d1=dg[:, 0], d2=dg[:, 1], n=size, own=own)
-        single, st, sw = times == 1, t[first], w[first]
-        shard = ((st >> U64(32)) % U64(shards)).astype(np.int32)
-        o = np.lexsort((~single, shard))
-        cuts = np.searchsorted(shard[o], np.arange(shards + 1))
-        cols = {k: [] for k in ("tokens", "ords", "many", "times", "digests")}
-        used = []
-        for k in range(shards):
-            r = o[cuts[k] : cuts[k + 1]]
-            if not len(r):
-                continue
-            used.append(k)
-            one, more = r[single[r]], r[~single[r]]
-            at, local = np.unique(sw[one], return_inverse=True)
-            cols["tokens"].append((st[one] & U64(0xFFFFFFFF)).astype("<u4").tobytes())
-            cols["ords"].append(local.astype("<u2").tobytes())
-            cols["many"].append((st[more] & U64(0xFFFFFFFF)).astype("<u4").tobytes())
-            cols["times"].append(times[more].astype("<u2").tobytes())
-            cols["digests"].append(dg[at].astype("<i8").tobytes())
-        if used:
-            yield _rows(len(used), _FIRST, shard=used, **cols)
+_ROWS = "doc_id long, d1 long, d2 long, n int, maybe boolean, cid long"
+ENTRY = np.dtype([("t", "<u8"), ("d", "<i8"), ("n", "<u4")])
 
+
+def _first(path: str, n: int, shards: int, block_words: int):
     def run(batches):
-        held, size = [], 0
-        for b in batches:
-            for i, t in zip(*lists(b, "doc_id", "text")):
-                if i is None:
-                    continue
-                s = shingle_hashes(t, n)
-                held.append((i, s, digest(s)))
-                size += len(s)
-                if size >= BLOCK_TOKENS or len(held) >= 60_000:
-                    yield from block(held)
-                    held, size = [], 0
-        if held:
-            yield from block(held)
+        for block, rows in blocks.cut(batches, ["doc_id", "text"], block_words):
+            sets = block_shingles([t for _, t in rows], n)
+            d = np.array([digest(s) for s in sets], np.int64).reshape(-1, 2)
+            size = np.array([len(s) for s in sets], np.int64)
+            tokens = np.concatenate(sets)
+            ids = pa.array([i for i, _ in rows], pa.int64())
+            blocks.write(path, f"{block}.sets", pa.table({"doc_id": ids, "d1": d[:, 0], "d2": d[:, 1], "n": size, "tokens": pa.array([s.tobytes() for s in sets], pa.large_binary())}))
+            there = np.repeat(~ids.is_null().to_numpy(False), size)
+            distinct, times = np.unique(blocks.cells(tokens[there], shards), return_counts=True)
+            yield blocks.message(block, distinct, times, shards)
 
     return run
 
 
-def _counted(table: pa.Table) -> pa.Table:
-    """kind 0: a document; 1: shingles of a set that other blocks hold too; 2: a shingle (d1, in shard d2) of many documents."""
-    docs = table.filter(pa.compute.is_valid(table["doc_id"]))
-    out = [_rows(docs.num_rows, _COUNTED, kind=np.zeros(docs.num_rows, np.int32), **{c: docs[c].combine_chunks() for c in ("doc_id", "d1", "d2", "n", "own")})] if docs.num_rows else []
-    rows = table.filter(pa.compute.is_null(table["doc_id"]))
-    if rows.num_rows:
-        shard = rows["shard"][0].as_py()
-        got = {c: rows[c].to_pylist() for c in ("tokens", "ords", "many", "times", "digests")}
-        dg = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in got["digests"]]
-        base = np.r_[0, np.cumsum([len(x) for x in dg])]
-        dg = np.concatenate(dg)
-        one = np.concatenate([np.frombuffer(x, "<u4") for x in got["tokens"]])
-        who = np.concatenate([np.frombuffer(x, "<u2").astype(np.int64) + base[k] for k, x in enumerate(got["ords"])])
-        more = np.concatenate([np.frombuffer(x, "<u4") for x in got["many"]])
-        times = np.concatenate([np.frombuffer(x, "<u2") for x in got["times"]]).astype(np.int64)
-        tok = np.r_[one, more]
-        c = np.r_[np.ones(len(one), np.int64), times]
-        o = np.argsort(tok, kind="stable")
-        t = tok[o]
-        first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.zeros(0, np.int64)
-        df = np.add.reduceat(c[o], first) if len(first) else np.zeros(0, np.int64)
-        held = np.empty(len(tok), bool)
-        held[o] = np.repeat(df > 1, np.diff(np.r_[first, len(t)]))
-        n = np.bincount(who[held[: len(one)]], minlength=len(dg))
-        at = np.flatnonzero(n)
-        out.append(_rows(len(at), _COUNTED, kind=np.ones(len(at), np.int32), d1=dg[at, 0], d2=dg[at, 1], own=n[at]))
-        hot = np.flatnonzero(df >= COMMON)
-        out.append(_rows(len(hot), _COUNTED, kind=np.full(len(hot), 2), d1=t[first[hot]].astype(np.int64), d2=np.full(len(hot), shard), own=np.minimum(df[hot], 2**31 - 1)))
-    return pa.Table.from_batches(out)
-
-
-class Order:
-    """Ranks of common shingles (log2 of their documents) in a sharded minimal perfect hash; 0 for all others."""
-
-    def __init__(self, path: str, shards: int, files: int):
-        self.path, self.shards, self.files, self.open = path, shards, files, {}
-
-    @staticmethod
-    def key(token: np.ndarray, shards: int) -> np.ndarray:
-        return (token & U64(0xFFFFFFFF)) | ((token >> U64(32)) % U64(shards)) << U64(32)
-
-    def ranks(self, tokens: np.ndarray) -> np.ndarray:
-        k = self.key(tokens, self.shards)
-        out = np.zeros(len(k), np.uint8)
-        own = mix(k) % U64(self.files)
-        for f in np.unique(own).tolist() if self.files > 1 else [0]:
-            a = self.file(int(f))
-            if a is None:
-                continue
-            rows = np.flatnonzero(own == f)
-            at = mph.lookup(a, k[rows], k[rows])
-            ok = at >= 0
-            ok[ok] = a["fp"][at[ok]] == k[rows[ok]]
-            out[rows[ok]] = a["rank_of"][at[ok]]
-        return out
-
-    def file(self, f: int) -> dict | None:
-        if f not in self.open:
-            while len(self.open) >= 32:
-                self.open.pop(next(iter(self.open)))
-            fs, root = pafs.FileSystem.from_uri(self.path)
-            if fs.get_file_info(f"{root}/{f}.mph").type == pafs.FileType.NotFound:
-                self.open[f] = None
-            else:
-                with fs.open_input_file(f"{root}/{f}.mph") as x:
-                    self.open[f] = mph.load(x.read())
-        return self.open[f]
-
-
-def _index(path: str):
+def _held(path: str, shards: int, threshold: int):
+    """The block's documents, and which may have a partner; keeps the ranks of those documents' shingles."""
+
     def run(table: pa.Table) -> pa.Table:
-        f = table["file"][0].as_py()
-        k = table["k"].to_numpy().astype(np.uint64)
-        a = mph.build(k, k)
-        at = mph.lookup(a, k, k)
-        fp, rank = np.zeros(len(k), np.uint64), np.zeros(len(k), np.uint8)
-        fp[at], rank[at] = k, np.log2(table["own"].to_numpy()).astype(np.uint8)
-        fs, root = pafs.FileSystem.from_uri(path)
-        fs.create_dir(root, recursive=True)
-        tmp = f"{root}/.{f}-{np.random.default_rng().integers(1 << 62)}"
-        with fs.open_output_stream(tmp) as out:
-            out.write(mph.dump(a | {"fp": fp, "rank_of": rank}))
-        fs.move(tmp, f"{root}/{f}.mph")  # a second attempt writes the same bytes
-        return pa.table({"file": pa.array([f], pa.int64())})
+        block = table["block"][0].as_py()
+        t = blocks.read(path, f"{block}.sets")
+        size, null = t["n"].to_numpy(), t["doc_id"].is_null().to_numpy()
+        there = np.repeat(~null, size)
+        tokens = np.frombuffer(b"".join(t["tokens"].to_pylist()), "<u8")
+        rank = np.zeros(len(tokens), np.uint8)
+        cell = blocks.cells(tokens[there], shards)
+        distinct = np.unique(cell)
+        rank[there] = blocks.ranks(table)[np.searchsorted(distinct, cell)]
+        owner = np.repeat(np.arange(len(size)), size)
+        held = np.bincount(owner[rank > 0], minlength=len(size))
+        maybe = (size > 0) & (100 * held >= threshold * size)
+        at, cuts = np.flatnonzero(maybe), np.r_[0, np.cumsum(size)]
+        blocks.write(path, f"{block}.ranks", pa.table({"ord": at, "ranks": pa.array([rank[cuts[k] : cuts[k + 1]].tobytes() for k in at], pa.large_binary())}), "zstd")
+        return pa.table({"doc_id": t["doc_id"], "d1": t["d1"], "d2": t["d2"], "n": pa.array(size, pa.int32()), "maybe": pa.array(maybe), "cid": pa.array(block << 16 | np.arange(len(size)), pa.int64())})
 
     return run
 
 
-_SETS = "d1 long, n int, tile long, tokens binary, shard int, entries binary"
-ENTRY = np.dtype([("t", "<u8"), ("d", "<i8"), ("n", "<u4"), ("p", "<u4")])
+def _prefixes(path: str, threshold: int, shards: int):
+    """The prefixes of a block's representatives, by shard."""
 
-
-def _band(n: int) -> int:
-    return int(np.log(n) / np.log(1.25))
-
-
-def _sets(n: int, threshold: int, shards: int, order: Order):
-    def flush(held):
-        if not held:
-            return
-        yield _rows(len(held), _SETS, d1=[h[0] for h in held], n=[len(h[1]) for h in held], tokens=[h[1].tobytes() for h in held],
-                    tile=[_band(len(h[1])) << 32 | int(h[1][0] >> U64(40)) for h in held])
-        tok = np.concatenate([h[1] for h in held])
-        size = np.array([len(h[1]) for h in held], np.int64)
-        owner = np.repeat(np.arange(len(held)), size)
-        rank = order.ranks(tok)
+    def run(table: pa.Table) -> pa.Table:
+        cid = np.sort(table["cid"].to_numpy())
+        block, at = int(cid[0]) >> 16, cid & 0xFFFF
+        tokens = blocks.read(path, f"{block}.sets")["tokens"].take(pa.array(at)).to_pylist()
+        ranked = blocks.read(path, f"{block}.ranks")
+        ranks = ranked["ranks"].take(pa.array(np.searchsorted(ranked["ord"].to_numpy(), at))).to_pylist()
+        tok, rank = np.frombuffer(b"".join(tokens), "<u8"), np.frombuffer(b"".join(ranks), np.uint8)
+        size = np.array([len(x) for x in ranks], np.int64)
+        owner = np.repeat(np.arange(len(at)), size)
         o = np.lexsort((tok, rank, owner))
-        begin = np.r_[0, np.cumsum(size)[:-1]]
-        p = np.arange(len(tok)) - begin[owner]
+        p = np.arange(len(tok)) - np.repeat(np.cumsum(size) - size, size)
         inside = p < (size + threshold * size // -100 + 1)[owner]  # size - ceil(threshold * size / 100) + 1
         e = np.zeros(int(inside.sum()), ENTRY)
-        e["t"], e["d"], e["n"], e["p"] = tok[o][inside], np.array([h[0] for h in held], np.int64)[owner[inside]], size[owner[inside]], p[inside]
-        shard = ((e["t"] >> U64(32)) % U64(shards)).astype(np.int32)
+        e["t"], e["d"], e["n"] = tok[o][inside], cid[owner[inside]], size[owner[inside]]
+        shard = ((e["t"] >> U64(40)) % U64(shards)).astype(np.int32)
         q = np.argsort(shard, kind="stable")
         cuts = np.searchsorted(shard[q], np.arange(shards + 1))
         used = [k for k in range(shards) if cuts[k] < cuts[k + 1]]
-        yield _rows(len(used), _SETS, shard=used, entries=[e[q[cuts[k] : cuts[k + 1]]].tobytes() for k in used])
-
-    def run(batches):
-        held, size = [], 0
-        for b in batches:
-            for d1, d2, t in zip(*lists(b, "d1", "d2", "text")):
-                s = shingle_hashes(t, n)
-                if digest(s) != (d1, d2):
-                    continue  # another row of the same id
-                held.append((d1, s))
-                size += len(s)
-                if size >= BLOCK_TOKENS // 2:
-                    yield from flush(held)
-                    held, size = [], 0
-        yield from flush(held)
+        return pa.table({"shard": pa.array(used, pa.int32()), "entries": pa.array([e[q[cuts[k] : cuts[k + 1]]].tobytes() for k in used], pa.binary())})
 
     return run
 
 
-def _candidates(threshold: int):
+def _chain(threshold: int):
+    """A spanning forest of a shard's chains of sets that share a prefix shingle, by size."""
+
     def run(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x, ENTRY) for x in table["entries"].to_pylist()])
+        e = np.frombuffer(b"".join(table["entries"].to_pylist()), ENTRY)
         e = e[np.lexsort((e["d"], e["n"], e["t"]))]
-        t, d, n, p = e["t"], e["d"], e["n"].astype(np.int64), e["p"].astype(np.int64)
-        found, held, gap = [np.zeros((0, 2), np.int64)], 0, 1
-        at = np.arange(len(e))
-        while True:
-            at = at[at + gap < len(e)]
-            a, b = at, at + gap
-            near = (t[a] == t[b]) & (100 * n[a] >= threshold * n[b])  # sorted by size: farther ones are larger still
-            at = at[near]
-            if not len(at):
-                break
-            a, b = at, at + gap
-            ok = (np.minimum(n[a] - p[a], n[b] - p[b]) >= least_overlap(n[a], n[b], threshold)) & (d[a] != d[b])
-            x = np.c_[np.minimum(d[a[ok]], d[b[ok]]), np.maximum(d[a[ok]], d[b[ok]])]
-            found.append(x)
-            held += len(x)
-            if held > 4_000_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                held = 0
-            gap += 1
-        x = np.unique(np.concatenate(found), axis=0)
-        return pa.table({"a": pa.array(x[:, 0], pa.int64()), "b": pa.array(x[:, 1], pa.int64())})
+        near = (e["t"][1:] == e["t"][:-1]) & (100 * e["n"][:-1].astype(np.int64) >= threshold * e["n"][1:].astype(np.int64))
+        node, root = forest(e["d"][:-1][near], e["d"][1:][near])
+        return pa.table({"a": pa.array(root, pa.int64()), "b": pa.array(node, pa.int64())})
 
     return run
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """A set's hashed bitmap of 2048 bits."""
-    m = np.zeros(2048, bool)
-    m[(s & U64(2047)).astype(np.int64)] = True
-    return np.packbits(m).view(np.uint64)
-
-
-def overlap(x: np.ndarray, y: np.ndarray) -> int:
-    """The size of the intersection of two sorted arrays of distinct numbers."""
-    z = np.concatenate([x, y])
-    z.sort(kind="stable")
-    return int((z[1:] == z[:-1]).sum())
-
-
-def _verify(threshold: int):
-    def run(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        out = [[], []]
-        if pairs.num_rows and sets.num_rows:
-            ids = sets["d1"].to_numpy()
-            tokens = [np.frombuffer(x, "<u8") for x in sets["tokens"].to_pylist()]
-            o = np.argsort(ids, kind="stable")
-            at = lambda c: o[np.searchsorted(ids[o], pairs[c].to_numpy())]
-            a, b = at("a"), at("b")
-            size = np.array([len(x) for x in tokens], np.int64)
-            need = least_overlap(size[a], size[b], threshold)
-            maps = np.stack([bitmap(x) for x in tokens])
-            for k in range(0, len(a), 65_536):
-                i, j, m = a[k : k + 65_536], b[k : k + 65_536], need[k : k + 65_536]
-                left = size[i] - np.bitwise_count(maps[i] & ~maps[j]).sum(axis=1, dtype=np.int64)
-                right = size[j] - np.bitwise_count(maps[j] & ~maps[i]).sum(axis=1, dtype=np.int64)
-                for q in np.flatnonzero(np.minimum(left, right) >= m):
-                    if overlap(tokens[i[q]], tokens[j[q]]) >= m[q]:
-                        out[0].append(int(ids[i[q]]))
-                        out[1].append(int(ids[j[q]]))
-        return pa.table({"a": pa.array(out[0], pa.int64()), "b": pa.array(out[1], pa.int64())})
-
-    return run
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, root) of the nodes of links a - b that aren't roots; a root is its component's least node."""
+    nodes, at = np.unique(np.r_[a, b], return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        on = low < high
+        if not on.any():
+            break
+        x, y = x[on], y[on]
+        np.minimum.at(label, high[on], low[on])
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    below = label < np.arange(len(nodes))
+    return nodes[below], nodes[label[below]]
 
 
 def _forest(batches):
-    """A spanning forest of a partition's links: (node, root)."""
-    up: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
+    """A spanning forest of a partition's links: (root, node)."""
+    held, size = [], 0
     for b in batches:
-        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            x, y = root(x), root(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-    nodes = [x for x in up if root(x) != x]
-    for c in range(0, len(nodes), 65_536):
-        part = nodes[c : c + 65_536]
-        yield record(a=([root(x) for x in part], pa.int64()), b=(part, pa.int64()))
+        held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+        size += b.num_rows
+        if size > 4_000_000:  # what was seen so far shrinks to its forest
+            node, root = forest(*(np.concatenate(c) for c in zip(*held)))
+            held, size = [(root, node)], len(node)
+    if held:
+        node, root = forest(*(np.concatenate(c) for c in zip(*held)))
+        for c in range(0, len(node), 65_536):
+            yield record(a=(root[c : c + 65_536], pa.int64()), b=(node[c : c + 65_536], pa.int64()))
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node that links (a, b) touch, apart from the roots: root is the component's least node.
 
-    Partitions first reduce their links to spanning forests. A forest of bounded
-    size is finished in one task; beyond it, labels pass along links and jump to
-    their labels' labels until nothing changes.
+    Partitions first reduce their links to spanning forests. Labels then pass along
+    links and jump to their labels' labels until nothing changes.
     """
-    forest = materialize(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "forest")
-    if forest.count() <= FOREST_ROWS:
-        return forest.coalesce(1).mapInArrow(_forest, "a long, b long").select(F.col("b").alias("node"), F.col("a").alias("root"))
-    both = materialize(forest.unionByName(forest.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
+    trees = links.select("a", "b").mapInArrow(_forest, "a long, b long")
+    both = materialize(trees.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("s")).selectExpr("if(s = 0, a, b) AS a", "if(s = 0, b, a) AS b"), "links")
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
     while True:
         label = materialize(label, "labels")
@@ -377,69 +213,148 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("node", "root")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: int = 70) -> DataFrame:
+def bitmap(s: np.ndarray) -> np.ndarray:
+    """A set's hashed bitmap."""
+    m = np.zeros(BITS, bool)
+    m[(s & U64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(m).view(np.uint64)
+
+
+def compare(left: list[np.ndarray], right: list[np.ndarray] | None, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of linked sets between two tiles, or inside one (``right`` None, first index smaller).
+
+    Sets are sorted arrays of distinct numbers. Bits that only one of two bitmaps has
+    stand for shingles that only one set has, which bounds the overlap from above.
+    """
+    inside = right is None
+    right = left if inside else right
+    m, mr = (np.stack([bitmap(s) for s in x]) for x in (left, right))
+    n, nr = (np.array([len(s) for s in x], np.int64) for x in (left, right))
+    start = np.r_[0, np.cumsum(nr)]
+    vocabulary, local = np.unique(np.concatenate(right), return_inverse=True)
+    mark = np.zeros(len(vocabulary), bool)
+    found = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
+    for i, s in enumerate(left):
+        j = np.arange(i + 1 if inside else 0, len(right))
+        j = j[(100 * np.minimum(n[i], nr[j]) >= threshold * np.maximum(n[i], nr[j]))]
+        if not len(j):
+            continue
+        need = least_overlap(n[i], nr[j], threshold)
+        at_most = np.minimum(n[i] - np.bitwise_count(m[i] & ~mr[j]).sum(axis=1, dtype=np.int64), nr[j] - np.bitwise_count(mr[j] & ~m[i]).sum(axis=1, dtype=np.int64))
+        ok = at_most >= need
+        j, need = j[ok], need[ok]
+        if not len(j):
+            continue
+        at = np.searchsorted(vocabulary, s)
+        at = at[at < len(vocabulary)]
+        at = at[np.isin(vocabulary[at], s, assume_unique=True)]
+        mark[at] = True
+        size = nr[j]
+        ends = np.cumsum(size)
+        rows = np.repeat(start[j] - ends + size, size) + np.arange(ends[-1])
+        both = np.add.reduceat(mark[local[rows]], ends - size, dtype=np.int64)
+        mark[at] = False
+        j = j[both >= need]
+        found[0].append(np.full(len(j), i))
+        found[1].append(j)
+    return np.concatenate(found[0]), np.concatenate(found[1])
+
+
+_SENT = "g long, unit long, side int, cid long, size long, tokens binary"
+
+
+def _ship(path: str):
+    """The sets that a block's representatives send to the units of their tiles."""
+
+    def run(table: pa.Table) -> pa.Table:
+        block = int(table["cid"][0].as_py()) >> 16
+        tokens = blocks.read(path, f"{block}.sets")["tokens"].take(pa.array(table["cid"].to_numpy() & 0xFFFF)).cast(pa.binary())
+        return pa.table({c: table[c] for c in ("g", "unit", "side", "cid", "size")} | {"tokens": tokens})
+
+    return run
+
+
+def _compare(threshold: int):
+    def run(table: pa.Table) -> pa.Table:
+        o = np.lexsort((table["cid"].to_numpy(), table["side"].to_numpy(), table["unit"].to_numpy()))
+        unit, side, cid, size = (table[c].to_numpy()[o] for c in ("unit", "side", "cid", "size"))
+        blobs = table["tokens"].take(pa.array(o)).to_pylist()
+        cuts = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1], True])
+        out: list[list[np.ndarray]] = [[], [], []]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            sets = [np.frombuffer(x, "<u8") for x in blobs[a:b]]
+            k = int((side[a:b] == 0).sum())
+            i, j = compare(sets[:k], sets[k:] if k < b - a else None, threshold)
+            if not len(i):
+                continue
+            j = j + (k if k < b - a else 0)
+            ids, w = cid[a:b], size[a:b]
+            others = np.bincount(i, w[j], b - a) + np.bincount(j, w[i], b - a)
+            at = np.flatnonzero(others)
+            node, root = forest(ids[i], ids[j])
+            out[0] += [ids[at], node]
+            out[1] += [np.zeros(len(at), np.int64) - 1, root]
+            out[2] += [others[at].astype(np.int64), np.zeros(len(node), np.int64)]
+        cols = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "others": pa.array(cols[2], pa.int64())})
+
+    return run
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, threshold: int = 70, block_words: int = blocks.BLOCK_WORDS, tile: int = TILE) -> DataFrame:
     """One row per document: doc_id, n_shingles, n_similar, component_id."""
     if not 0 < threshold <= 100:
         raise ValueError("the threshold is a percentage above 0")
-    spark = docs.sparkSession
-    shards = max(8, shuffle_partitions(spark) // 2)
     d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    counted = materialize(d.mapInArrow(_send(n, shards), _FIRST).groupBy("shard").applyInArrow(_counted, _COUNTED), "counted")
-
-    # the order's index
-    key = F.col("d1").bitwiseOR(F.shiftleft("d2", 32)).alias("k")
-    common = counted.filter("kind = 2").select(key, "own")
-    files = max(1, -(-common.count() // COMMON_KEYS))
-    path = shared_path(spark, "order-index")
-
-    def with_file(batches):
-        for b in batches:
-            k = b.column(0).to_numpy().astype(np.uint64)
-            yield record(k=(b.column(0), pa.int64()), own=(b.column(1), pa.int32()), file=((mix(k) % U64(files)).astype(np.int64), pa.int64()))
-
-    common.mapInArrow(with_file, "k long, own int, file long").groupBy("file").applyInArrow(_index(path), "file long").agg(F.count(F.lit(1))).collect()
-
-    # classes of equal sets, and those that may have a partner outside
-    per_set = counted.filter("kind < 2").groupBy("d1", "d2").agg(
-        F.max("n").alias("n"), F.sum("own").alias("held"), F.count("doc_id").alias("size"), F.min("doc_id").alias("least"))
-    classes = materialize(per_set, "classes")
-    maybe = classes.filter((F.col("n") > 0) & (F.col("held") * 100 >= F.col("n") * threshold)).select(F.col("least").alias("doc_id"), "d1", "d2")
-    built = materialize(d.join(maybe, "doc_id").select("d1", "d2", "text").mapInArrow(_sets(n, threshold, shards, Order(path, shards, files)), _SETS), "sets")
-    sets = built.filter("d1 IS NOT NULL").select("d1", "n", "tile", "tokens")
-    pairs = built.filter("shard IS NOT NULL").select("shard", "entries").groupBy("shard").applyInArrow(_candidates(threshold), "a long, b long").distinct()
-
-    # tiles of bounded size; a set is sent once to each group of tile pairs
-    tiles = sets.groupBy("tile").count().select("tile", F.ceil(F.col("count") / TILE).alias("parts"))
-    place = sets.select("d1", "tile").join(tiles, "tile").select("d1", F.xxhash64("tile", F.pmod(F.xxhash64("d1"), F.col("parts"))).alias("tile"))
-    place = materialize(place.dropDuplicates(["d1"]), "places")  # rows of equal ids may have brought a set twice
-    groups = shards * 4
-    at = pairs.join(place.select(F.col("d1").alias("a"), F.col("tile").alias("ta")), "a").join(place.select(F.col("d1").alias("b"), F.col("tile").alias("tb")), "b")
-    at = materialize(at.select("a", "b", F.pmod(F.xxhash64(F.least("ta", "tb"), F.greatest("ta", "tb")), F.lit(groups)).alias("g")), "pairs")
-    needed = at.select("g", F.explode(F.array("a", "b")).alias("d1")).distinct()
-    sent = needed.join(sets.select("d1", "tokens"), "d1").select(F.col("g").alias("h"), "d1", "tokens")
-    links = at.groupBy("g").cogroup(sent.groupBy("h")).applyInArrow(_verify(threshold), "a long, b long")
-    links = materialize(links, "class-links")
-
-    one = classes.filter("n > 0").select("d1", "d2", "size", "least")
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    near = both.join(one.select(F.col("d1").alias("b"), "size"), "b").groupBy(F.col("a").alias("d1")).agg(F.sum("size").alias("others"))
-    roots = components(links)
-    member = one.join(roots, one["d1"] == roots["node"], "left").select("d1", "d2", "size", "least", F.coalesce("root", "d1").alias("root"))
-    linked = member.filter((F.col("size") > 1) | (F.col("root") != F.col("d1"))).unionByName(member.join(roots.select("root").distinct(), "root", "left_semi").filter("size = 1 AND root = d1"))
+    shards, parts = blocks.plan_sizes(blocks.input_bytes(d, F.col("text")), block_words)
+    path = shared_path(docs.sparkSession, "shingles")
+    block = F.shiftright("cid", 16)
+
+    def by_block(df: DataFrame) -> DataFrame:
+        return df.withColumn("block", block).repartition(parts, "block").groupBy("block")
+
+    replies = blocks.tally(d.mapInArrow(_first(path, n, shards, block_words), blocks.MESSAGE), shards, parts)
+    rows = materialize(replies.groupBy("block").applyInArrow(_held(path, shards, threshold), _ROWS), "documents")
+
+    # classes of equal sets; one document stands for each class that may have a partner outside
+    classes = materialize(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(
+        F.first("n").alias("n"), F.count(F.lit(1)).alias("size"), F.min("doc_id").alias("least"), F.max("maybe").alias("maybe"), F.min(F.when(F.col("maybe"), F.col("cid"))).alias("cid")), "classes")
+    reps = classes.filter("maybe").select("cid", "n", "size")
+
+    # fields of sets that prefixes chain
+    entries = by_block(reps.select("cid")).applyInArrow(_prefixes(path, threshold, shards), "shard int, entries binary")
+    chains = entries.repartition(shards, "shard").groupBy("shard").applyInArrow(_chain(threshold), "a long, b long")
+    roots = components(chains)
+    field = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "fields")
+
+    # tiles by field and size band; a field that fits into one tile needs no bands
+    sets = reps.join(field.select(F.col("node").alias("cid"), F.col("root").alias("field")), "cid")
+    sets = materialize(sets.withColumn("band", F.floor(F.log(F.col("n")) / float(np.log(BAND))).cast("int")), "sets")
+    held = sets.groupBy("field").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") > tile).select("field", F.lit(True).alias("large"))
+    sets = sets.join(held, "field", "left").withColumn("band", F.when(F.col("large"), F.col("band")).otherwise(0))
+    counts = sets.groupBy("field", "band").agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("parts"))
+    sets = sets.join(counts, ["field", "band"]).withColumn("part", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int"))
+    tiles = counts.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("field", "band", "part")
+    reach = int(np.ceil(np.log(100 / threshold) / np.log(BAND)))
+    other = tiles.select(F.col("field").alias("field2"), F.col("band").alias("band2"), F.col("part").alias("part2"))
+    units = tiles.join(other, (F.col("field") == F.col("field2")) & (F.abs(F.col("band") - F.col("band2")) <= reach) & (F.struct("band", "part") <= F.struct("band2", "part2")))
+    units = materialize(units.withColumn("unit", F.monotonically_increasing_id()), "units")
+    ends = units.select("unit", "field", "band", "part", F.lit(0).alias("side")).unionByName(
+        units.filter("band <> band2 OR part <> part2").select("unit", "field", F.col("band2").alias("band"), F.col("part2").alias("part"), F.lit(1).alias("side")))
+    sends = materialize(sets.join(ends, ["field", "band", "part"]).select("unit", "side", "cid", "n", "size"), "sends")
+    groups = max(8, -(-(sends.agg(F.sum("n")).first()[0] or 0) * 8 // UNIT_BYTES))
+    sent = by_block(sends.withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups))).select("g", "unit", "side", "cid", "size")).applyInArrow(_ship(path), _SENT)
+    found = materialize(sent.repartition(groups, "g").groupBy("g").applyInArrow(_compare(threshold), "a long, b long, others long"), "links")
+
+    others = found.filter("b < 0").groupBy(F.col("a").alias("cid")).agg(F.sum("others").alias("others"))
+    roots = components(found.filter("b >= 0"))
+    alone = F.col("root").isNull()
+    linked = classes.filter("maybe").join(others, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").filter(F.col("others").isNotNull() | (F.col("size") > 1))
+    linked = linked.unionByName(classes.filter("NOT maybe AND size > 1"), allowMissingColumns=True).withColumn("root", F.when(alone, F.coalesce("cid", F.xxhash64("d1", "d2"))).otherwise(F.col("root")))
+    linked = materialize(linked.select("d1", "d2", "size", "least", "others", "root"), "linked")
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = linked.join(least, "root").join(near, "d1", "left").select("d1", "d2", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), "component_id")
-    salted = answer.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rows = counted.filter("kind = 0").select("doc_id", "d1", "d2", "n").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = rows.join(salted, ["d1", "d2", "salt"], "left").select(
-        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("n_similar", F.lit(0)).cast("long").alias("n_similar"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.unionByName(d.filter("doc_id IS NULL").mapInArrow(_alone(n), "doc_id long, n_shingles long, n_similar long, component_id long"))
-
-
-def _alone(n: int):
-    def run(batches):
-        for b in batches:
-            size = [len(shingle_hashes(t, n)) for t in lists(b, "text")[0]]
-            none = [None] * len(size)
-            yield record(doc_id=(none, pa.int64()), n_shingles=(size, pa.int64()), n_similar=([0] * len(size), pa.int64()), component_id=(none, pa.int64()))
-
-    return run
+    answer = linked.join(least, "root").select("d1", "d2", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_similar"), "component_id")
+    # a class that a large share of all rows has is a skewed key of this join, which adaptive execution splits
+    return rows.join(answer, ["d1", "d2"], "left").select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("doc_id").isNull(), 0).otherwise(F.coalesce("n_similar", F.lit(0))).cast("long").alias("n_similar"),
+        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

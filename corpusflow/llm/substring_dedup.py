@@ -1,24 +1,26 @@
 """Substring dedup by level-wise doubling.
 
 A word goes if a window of ``width`` words over it also starts in a document with
-a smaller doc_id. Level one looks at sequences of half that length (7 words for
-13; only the least hash among those inside a window counts, so equal windows
-always agree on it): a window whose half occurs in one document alone can't be
-repeated. Only windows with a repeated half are extended to the full width, in the
-same task, since equal windows share their half and so their shard. That one pair
-of levels is all that ``dedup_substrings`` and its query run. ``longest_repeats``
-is separate: it doubles the repeated windows on, to 2, 4, 8 ... times the width,
-until no candidate survives, and gives each document the longest repeated length.
-
-One exchange carries the windows (6 bytes each, and 16 a run of windows with the
-same half) and one the texts. Inside a block of some million words only the
-smallest doc_id's copies of a window are sent on, the others are settled there;
-so a window that a third of all documents hold reaches its shard once a block.
-Replies are positions, one list a document and shard.
+a smaller doc_id. Levels double towards the width (7, then 13 words): a window is
+a candidate at a level only if every window of the level before inside it, both
+halves among them, occurs in more than one document, and only candidates are sent.
+At levels below the width a tally (``blocks``) tells which candidates several
+documents hold, at some two bytes for each distinct one of a block. At the width
+the survivors alone are sent, with 96 bits of hash beside their shard and the
+smallest doc_id of the block that holds them; what is larger than the smallest of
+all blocks goes. Inside a block only the smallest doc_id's copies are sent, the
+others are settled there, so a window that a third of all documents hold is one
+entry a block. Texts lie in files by block and are never shuffled.
+
+``dedup_substrings`` and its query end at the width, as longer windows can't remove
+more. ``longest_repeats`` doubles on, to 2, 4, 8 ... times the width, until no
+candidate survives, and gives each document the longest repeated length.
 
 Defined cases: a null text has no words; a null doc_id takes no part and loses
 nothing; rows with equal ids don't remove each other's words; words are judged on
 the input; repeats inside one document alone stay; extra columns are ignored.
+``docs`` should be a scan of files or another source that gives equal rows in
+equal order.
 """
 
 from __future__ import annotations
@@ -31,194 +33,186 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import U64, hash_words, lists, materialize, mix, record, roll, shuffle_partitions, words
-
-BLOCK_WORDS = 1_500_000
-SCHEMA = "shard int, doc_id long, tkey long, seeds binary, docs binary, starts binary, counts binary, low binary, high binary, ids binary, gone array<int>"
-REPLY = "doc_id long, tkey long, gone array<int>"
-
-
-def ragged(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int32()))
-
-
-def window_hashes(ws: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, position, window hash, hash of the least half) of every window of the documents."""
-    size = np.array([len(w) for w in ws], np.int64)
-    h = hash_words([x for w in ws for x in w])
-    doc = np.repeat(np.arange(len(ws), dtype=np.int32), size)
-    half = width // 2 + 1
-    if len(h) < width:
-        e = np.zeros(0, np.int64)
-        return e, e, e.astype(np.uint64), e.astype(np.uint64)
-    whole = roll(h, width)
-    g = mix(roll(h, half) ^ U64(half))
-    n = len(whole)
-    seed = g[:n].copy()
-    for k in range(1, width - half + 1):
-        np.minimum(seed, g[k : n + k], out=seed)
-    at = np.flatnonzero(doc[:n] == doc[width - 1 :])
-    begin = np.r_[0, np.cumsum(size)[:-1]]
-    return doc[at], at - begin[doc[at]], whole[at], seed[at]
-
-
-def _block(docs: list[tuple[int, int, list[bytes]]], width: int, shards: int):
-    docs.sort(key=lambda d: d[0])
-    ids = np.array([d[0] for d in docs], np.int64)
-    tkeys = np.array([d[1] for d in docs], np.int64)
-    doc, pos, w, seed = window_hashes([d[2] for d in docs], width)
-    if not len(w):
-        return
-    o = np.argsort(w, kind="stable")  # documents are in order of doc_id, so each group begins with its smallest
-    first = np.r_[True, w[o][1:] != w[o][:-1]]
-    least = ids[doc[o][np.flatnonzero(first)]][np.cumsum(first) - 1]
-    later = np.empty(len(w), bool)
-    later[o] = ids[doc[o]] > least
-    if later.any():
-        d, p = doc[later], pos[later]
-        own, start = np.unique(d, return_index=True)
-        yield _row(pa.array(own % shards, pa.int32()), len(own), doc_id=pa.array(ids[own], pa.int64()), tkey=pa.array(tkeys[own], pa.int64()), gone=ragged(p, np.r_[start, len(d)]))
-    stay = ~later
-    doc, pos, w, seed = doc[stay], pos[stay], w[stay], seed[stay]
-    shard = ((seed >> U64(33)) % U64(shards)).astype(np.int32)
-    o = np.argsort(shard, kind="stable")
-    cuts = np.searchsorted(shard[o], np.arange(shards + 1))
-    cols = {k: [] for k in ("seeds", "docs", "starts", "counts", "low", "high", "ids")}
-    used = []
-    for k in range(shards):
-        r = o[cuts[k] : cuts[k + 1]]
-        if not len(r):
-            continue
-        used.append(k)
-        d, p, s = doc[r], pos[r], seed[r]
-        new = np.r_[True, (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (s[1:] != s[:-1])]
-        at = np.flatnonzero(new)
-        own, local = np.unique(d[at], return_inverse=True)
-        cols["seeds"].append((s[at] & U64(0xFFFFFFFF)).astype("<u4").tobytes())
-        cols["docs"].append(local.astype("<u4").tobytes())
-        cols["starts"].append(p[at].astype("<u4").tobytes())
-        cols["counts"].append(np.diff(np.r_[at, len(r)]).astype("<u4").tobytes())
-        cols["low"].append((w[r] & U64(0xFFFFFFFF)).astype("<u4").tobytes())
-        cols["high"].append((w[r] >> U64(48)).astype("<u2").tobytes())
-        cols["ids"].append(np.c_[ids[own], tkeys[own]].astype("<i8").tobytes())
-    yield _row(pa.array(used, pa.int32()), len(used), **{k: pa.array(v, pa.binary()) for k, v in cols.items()})
-
-
-def _row(shard: pa.Array, n: int, **cols) -> pa.RecordBatch:
-    kinds = {"shard": pa.int32(), "doc_id": pa.int64(), "tkey": pa.int64(), "gone": pa.list_(pa.int32())}
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    cols["shard"] = shard
-    return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, kinds.get(c, pa.binary())) for c in names], names=names)
-
-
-def _send(width: int, shards: int):
+from corpusflow.llm import blocks
+from corpusflow.llm.common import GOLD, U64, lists, materialize, mix, record, roll, shared_path, words
+
+SENT = "shard int, block long, w1 binary, w2 binary, ids binary, counts binary"
+OUT = "doc_id long, n_words long, n_removed long, kept string"
+
+
+def doubling(width: int) -> list[int]:
+    """The levels: halves of halves from about seven words up, the width last."""
+    out = [width]
+    while len(out) == 1 or out[0] > 8:
+        out.insert(0, -(-out[0] // 2))
+    return out
+
+
+class Windows:
+    """The windows of a block's documents; those of one document each, of documents with an id and words enough."""
+
+    def __init__(self, ids: list[int | None], texts: list[list[bytes]], width: int):
+        self.rows = [k for k, (i, ws) in enumerate(zip(ids, texts)) if i is not None and len(ws) >= width]
+        self.ids = np.array([ids[k] for k in self.rows], np.int64)
+        self.h, self.size = blocks.hash_texts([texts[k] for k in self.rows])
+        self.doc = np.repeat(np.arange(len(self.rows), dtype=np.int32), self.size)
+
+    def starts(self, level: int) -> np.ndarray:
+        n = max(0, len(self.h) - level + 1)
+        return np.flatnonzero(self.doc[:n] == self.doc[level - 1 :]) if n else np.zeros(0, np.int64)
+
+    def names(self, level: int) -> np.ndarray:
+        return mix(roll(self.h, level) ^ U64(level))
+
+    def second_names(self, level: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (roll(mix(self.h + GOLD), level) >> U64(32)).astype(np.uint32)
+
+    def cells(self, level: int, at: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct sorted cells of the windows at ``at``, in how many documents (1, or 2 for more), and each window's place among them."""
+        c = blocks.cells(self.names(level)[at], shards) if len(at) else np.zeros(0, np.uint64)
+        o = np.argsort(c, kind="stable")
+        new = np.r_[True, c[o][1:] != c[o][:-1]] if len(c) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        last = np.r_[first[1:], len(c)] - 1 if len(c) else first
+        d = self.doc[at]
+        place = np.empty(len(c), np.int64)
+        place[o] = np.cumsum(new) - 1
+        return c[o][first], 1 + (d[o][first] != d[o][last]), place
+
+    def extended(self, level: int, before: int, repeated: np.ndarray) -> np.ndarray:
+        """Starts of windows of ``level`` words all of whose windows of ``before`` words start in ``repeated``."""
+        on = np.zeros(len(self.h) + 1, np.int32)
+        on[repeated] = 1
+        total = np.r_[0, np.cumsum(on)]
+        at, k = self.starts(level), level - before + 1
+        return at[total[at + k] - total[at] == k]
+
+
+def _load(path: str, block: int) -> tuple[list[int | None], list[list[bytes]]]:
+    t = blocks.read(path, f"{block}.texts")
+    return t["doc_id"].to_pylist(), [x.split() for x in t["text"].to_pylist()]
+
+
+def _first(path: str, levels: list[int], shards: int, block_words: int):
     def run(batches):
-        held, size = [], 0
-        for b in batches:
-            for i, k, t in zip(*lists(b, "doc_id", "tkey", "text")):
-                if i is None or not t:
-                    continue
-                ws = words(t)
-                if len(ws) < width:
-                    continue
-                held.append((i, k, ws))
-                size += len(ws)
-                if size >= BLOCK_WORDS:
-                    yield from _block(held, width, shards)
-                    held, size = [], 0
-        if held:
-            yield from _block(held, width, shards)
+        for block, rows in blocks.cut(batches, ["doc_id", "text"], block_words):
+            rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
+            raw = [(t or "").encode("utf-8", "surrogatepass") for _, t in rows]
+            blocks.write(path, f"{block}.texts", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array(raw, pa.large_binary())}), "zstd")
+            w = Windows([i for i, _ in rows], [x.split() for x in raw], levels[-1])
+            distinct, times, _ = w.cells(levels[0], w.starts(levels[0]), shards)
+            yield blocks.message(block, distinct, times, shards)
 
     return run
 
 
-def _settle(table: pa.Table) -> pa.Table:
-    """Both levels over a shard: which windows start in a document with a smaller id."""
-    done = table.filter(pa.compute.is_valid(table["gone"])).select(["doc_id", "tkey", "gone"])
-    rows = table.filter(pa.compute.is_null(table["gone"]))
-    if not rows.num_rows:
-        return done
-    got = {c: rows[c].to_pylist() for c in ("seeds", "docs", "starts", "counts", "low", "high", "ids")}
-    ids = [np.frombuffer(x, "<i8").reshape(-1, 2) for x in got["ids"]]
-    base = np.r_[0, np.cumsum([len(x) for x in ids])]
-    ids = np.concatenate(ids)
-    read = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in got[c]])
-    doc = np.concatenate([np.frombuffer(x, "<u4").astype(np.int64) + base[k] for k, x in enumerate(got["docs"])])
-    seed, count = read("seeds", "<u4"), read("counts", "<u4").astype(np.int64)
-    # level one: halves in one document alone end here
-    o = np.argsort(seed, kind="stable")
-    s, d = seed[o], ids[doc[o], 0]
-    first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    repeated = np.minimum.reduceat(d, first) < np.maximum.reduceat(d, first)
-    ok = np.empty(len(seed), bool)
-    ok[o] = np.repeat(repeated, np.diff(np.r_[first, len(s)]))
-    win = np.repeat(ok, count)
-    w = (read("low", "<u4")[win].astype(np.uint64)) | (read("high", "<u2")[win].astype(np.uint64) << U64(32))
-    if not len(w):
-        return done
-    # level two: the windows over repeated halves, at the full width
-    run = np.repeat(np.arange(len(seed)), count)[win]
-    start = np.r_[0, np.cumsum(count)[:-1]]
-    pos = read("starts", "<u4")[run].astype(np.int64) + np.flatnonzero(win) - start[run]
-    full = w ^ (seed[run].astype(np.uint64) << U64(32)) * U64(0x9E3779B97F4A7C15)  # equal windows have equal halves
-    doc = doc[run]
-    o = np.argsort(full, kind="stable")
-    f, d = full[o], ids[doc[o], 0]
-    first = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
-    least = np.repeat(np.minimum.reduceat(d, first), np.diff(np.r_[first, len(f)]))
-    gone = o[d > least]
-    if not len(gone):
-        return done
-    key = ids[doc[gone]]
-    o = np.lexsort((pos[gone], key[:, 1], key[:, 0]))
-    key, p = key[o], pos[gone][o]
-    at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
-    new = pa.table({"doc_id": pa.array(key[at, 0], pa.int64()), "tkey": pa.array(key[at, 1], pa.int64()), "gone": ragged(p, np.r_[at, len(p)])})
-    return pa.concat_tables([done.combine_chunks().cast(new.schema), new])
-
-
-def repeated_windows(docs: DataFrame, width: int = 13, shards: int | None = None) -> DataFrame:
-    """(doc_id, tkey, gone): starts of windows that a document with a smaller id holds too.
-
-    ``docs`` has doc_id (long), tkey (a hash of the text) and text. A document may get several rows.
-    """
-    n = shards or max(8, shuffle_partitions(docs.sparkSession) // 2)
-    return docs.mapInArrow(_send(width, n), SCHEMA).groupBy("shard").applyInArrow(_settle, REPLY)
+def _survivors(path: str, levels: list[int], k: int, shards: int, block: int, table: pa.Table) -> tuple[Windows, np.ndarray]:
+    """The block's windows and the starts of the candidates of level k, by the tally of level k - 1."""
+    w = Windows(*_load(path, block), levels[-1])
+    at = w.starts(levels[0]) if k == 1 else blocks.read(path, f"{block}.{levels[k - 1]}")["at"].to_numpy()
+    _, _, place = w.cells(levels[k - 1], at, shards)
+    return w, w.extended(levels[k], levels[k - 1], at[blocks.ranks(table)[place] > 0])
 
 
-def _cover(width: int, digest: bool):
-    def run(batches):
-        for b in batches:
-            n, removed, kept = [], [], []
-            for t, starts in zip(*lists(b, "text", "gone")):
-                ws = words(t)
-                n.append(len(ws))
-                if starts:
-                    edge = np.zeros(len(ws) + 1, np.int64)
-                    s = np.unique(np.array([x for part in starts for x in part], np.int64))
-                    edge[s] += 1
-                    np.add.at(edge, s + width, -1)
-                    on = np.cumsum(edge[:-1]) > 0
-                    removed.append(int(on.sum()))
-                    ws = [ws[i] for i in np.flatnonzero(~on)]
-                else:
-                    removed.append(0)
-                text = b" ".join(ws)
-                kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "surrogatepass"))
-            ids = b.column(b.schema.get_field_index("doc_id"))
-            more = record(n_words=(n, pa.int64()), n_removed=(removed, pa.int64()), kept=(kept, pa.string()))
-            yield pa.RecordBatch.from_arrays([ids, *more.columns], names=["doc_id", *more.schema.names])
+def _next(path: str, levels: list[int], k: int, shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        w, at = _survivors(path, levels, k, shards, block, table)
+        blocks.write(path, f"{block}.{levels[k]}", pa.table({"at": at}), "zstd")
+        distinct, times, _ = w.cells(levels[k], at, shards)
+        return pa.Table.from_batches([blocks.message(block, distinct, times, shards)])
+
+    return run
+
+
+def _last(path: str, levels: list[int], shards: int):
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        w, at = _survivors(path, levels, len(levels) - 1, shards, block, table)
+        w1, w2 = w.names(levels[-1])[at] if len(at) else np.zeros(0, np.uint64), w.second_names(levels[-1])[at] if len(at) else np.zeros(0, np.uint32)
+        o = np.lexsort((w2, w1))  # stable, and documents are in order of doc_id, so each group begins with its smallest
+        new = np.r_[True, (w1[o][1:] != w1[o][:-1]) | (w2[o][1:] != w2[o][:-1])] if len(o) else np.zeros(0, bool)
+        group, first = np.cumsum(new) - 1, np.flatnonzero(new)
+        at, w1, w2, owner = at[o], w1[o][first], w2[o][first], w.doc[at[o][first]]
+        later = w.ids[w.doc[at]] > w.ids[owner][group] if len(at) else np.zeros(0, bool)
+        shard = ((w1 >> U64(40)) % U64(shards)).astype(np.int32)
+        s = np.lexsort((owner, shard))
+        place = np.empty(len(s), np.int64)
+        place[s] = np.arange(len(s))
+        stay = ~later
+        blocks.write(path, f"{block}.gone", pa.table({"at": at[later]}), "zstd")
+        blocks.write(path, f"{block}.open", pa.table({"at": at[stay], "place": place[group[stay]]}), "zstd")
+        w1, w2, owner, shard = w1[s], w2[s], owner[s], shard[s]
+        cuts = np.searchsorted(shard, np.arange(shards + 1))
+        used, cols = [k for k in range(shards) if cuts[k] < cuts[k + 1]], {c: [] for c in ("w1", "w2", "ids", "counts")}
+        for k in used:
+            r = slice(cuts[k], cuts[k + 1])
+            own, n = np.unique(owner[r], return_counts=True)
+            for c, x in zip(cols, (w1[r].astype("<u8"), w2[r].astype("<u4"), w.ids[own].astype("<i8"), n.astype("<u4"))):
+                cols[c].append(x.tobytes())
+        return pa.table({"shard": pa.array([*used, block % shards], pa.int32()), "block": pa.array([block] * (len(used) + 1), pa.int64())} | {c: pa.array([*v, None], pa.binary()) for c, v in cols.items()})
+
+    return run
+
+
+def _least(table: pa.Table) -> pa.Table:
+    """Of each window sent, whether another block holds it in a document with a smaller id."""
+    named = table.filter(pa.compute.is_null(table["w1"]))
+    rows = table.filter(pa.compute.is_valid(table["w1"]))
+    replies = []
+    if rows.num_rows:
+        parts = rows["w1"].to_pylist()
+        w1, w2 = np.frombuffer(b"".join(parts), "<u8"), np.frombuffer(b"".join(rows["w2"].to_pylist()), "<u4")
+        ids = np.repeat(np.frombuffer(b"".join(rows["ids"].to_pylist()), "<i8"), np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4"))
+        o = np.lexsort((w2, w1))
+        new = np.r_[True, (w1[o][1:] != w1[o][:-1]) | (w2[o][1:] != w2[o][:-1])]
+        least = np.minimum.reduceat(ids[o], np.flatnonzero(new))[np.cumsum(new) - 1]
+        gone = np.empty(len(o), np.uint8)
+        gone[o] = ids[o] > least
+        replies = [x.tobytes() for x in np.split(gone, np.cumsum([len(p) // 8 for p in parts])[:-1])]
+    return pa.table({"block": pa.array(rows["block"].to_pylist() + named["block"].to_pylist(), pa.int64()), "shard": pa.array(rows["shard"].to_pylist() + [-1] * named.num_rows, pa.int32()), "ranks": pa.array(replies + [None] * named.num_rows, pa.binary())})
+
+
+def _cover(path: str, width: int, digest: bool):
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        ids, texts = _load(path, block)
+        still = blocks.read(path, f"{block}.open")
+        starts = np.r_[blocks.read(path, f"{block}.gone")["at"].to_numpy(), still["at"].to_numpy()[blocks.ranks(table)[still["place"].to_numpy()] > 0]]
+        rows = [k for k, (i, ws) in enumerate(zip(ids, texts)) if i is not None and len(ws) >= width]
+        edge = np.zeros(sum(len(texts[k]) for k in rows) + 1, np.int64)
+        edge[starts] += 1
+        np.add.at(edge, starts + width, -1)
+        on = np.cumsum(edge) > 0
+        removed, kept, at, own = [0] * len(ids), [], 0, set(rows)
+        for k, ws in enumerate(texts):
+            if k in own:
+                gone = on[at : at + len(ws)]
+                at += len(ws)
+                if gone.any():
+                    removed[k] = int(gone.sum())
+                    ws = [ws[i] for i in np.flatnonzero(~gone)]
+            text = b" ".join(ws)
+            kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "surrogatepass"))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array([len(ws) for ws in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, digest: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 13, digest: bool = False, block_words: int = blocks.BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed and the kept words (``kept``, or ``kept_sha256`` with ``digest``)."""
     if width < 2:
         raise ValueError("a window has at least two words")
-    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")).withColumn("tkey", F.xxhash64("text"))
-    gone = repeated_windows(d, width).groupBy("doc_id", "tkey").agg(F.collect_list("gone").alias("gone"))
-    out = d.join(gone, ["doc_id", "tkey"], "left").select("doc_id", "text", "gone").mapInArrow(_cover(width, digest), "doc_id long, n_words long, n_removed long, kept string")
+    d = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    shards, parts = blocks.plan_sizes(blocks.input_bytes(d, F.col("text")), block_words)
+    path, levels = shared_path(docs.sparkSession, "windows"), doubling(width)
+    sent = d.mapInArrow(_first(path, levels, shards, block_words), blocks.MESSAGE)
+    for k in range(1, len(levels) - 1):
+        sent = blocks.tally(sent, shards, parts).groupBy("block").applyInArrow(_next(path, levels, k, shards), blocks.MESSAGE)
+    last = blocks.tally(sent, shards, parts).groupBy("block").applyInArrow(_last(path, levels, shards), SENT)
+    replies = last.repartition(shards, "shard").groupBy("shard").applyInArrow(_least, blocks.REPLY)
+    out = replies.repartition(parts, "block").groupBy("block").applyInArrow(_cover(path, width, digest), OUT)
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
 
 
@@ -235,9 +229,10 @@ def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def named(batches):
         for b in batches:
             for i, t in zip(*lists(b, "doc_id", "text")):
-                _, pos, w, _ = window_hashes([words(t)], width)
-                if len(w):
-                    yield record(doc_id=(np.full(len(w), i), pa.int64()), pos=(pos, pa.int64()), name=(w.astype(np.int64), pa.int64()))
+                w = Windows([i], [words(t)], width)
+                at = w.starts(width)
+                if len(at):
+                    yield record(doc_id=(np.full(len(at), i), pa.int64()), pos=(at, pa.int64()), name=(w.names(width)[at].astype(np.int64), pa.int64()))
 
     level, rows, found = width, d.mapInArrow(named, "doc_id long, pos long, name long"), []
     while True:

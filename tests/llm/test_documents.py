@@ -131,30 +131,11 @@ def test_substring_dedup(docs, rows, empty, monkeypatch):
     assert bag(substring_dedup.dedup_substrings(docs, width=4, digest=True)) == brute_substrings(rows, 4)
 
 
-def test_substrings_in_many_blocks(rows):
+def test_substrings_in_many_blocks(docs, rows):
     """Blocks of a few words settle the same windows as one."""
-    import pyarrow as pa
-
-    old = substring_dedup.BLOCK_WORDS
-    substring_dedup.BLOCK_WORDS = 40
-    try:
-        b = pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "tkey": [zlib.crc32((r[1] or "").encode()) for r in rows], "text": [r[1] for r in rows]})
-        t = pa.Table.from_batches(list(substring_dedup._send(13, 2)([b])))
-        gone = set()
-        for k in range(2):
-            for x in substring_dedup._settle(t.filter(pa.compute.equal(t["shard"], k))).to_pylist():
-                gone |= {(x["doc_id"], p) for p in x["gone"]}
-    finally:
-        substring_dedup.BLOCK_WORDS = old
-    want = set()
-    least = {}
-    for i, t, *_ in rows:
-        w = (t or "").split()
-        for p in range(len(w) - 12 if i is not None else 0):
-            least.setdefault(tuple(w[p : p + 13]), []).append((i, p))
-    for places in least.values():
-        want |= {(i, p) for i, p in places if i > min(places)[0]}
-    assert gone == want
+    assert bag(substring_dedup.dedup_substrings(docs, digest=True, block_words=40)) == brute_substrings(rows)
+    assert substring_dedup.doubling(13) == [7, 13] and substring_dedup.doubling(40) == [5, 10, 20, 40]
+    assert bag(substring_dedup.dedup_substrings(docs, width=30, digest=True, block_words=300)) == brute_substrings(rows, 30)
 
 
 def test_longest_repeats(docs, rows, empty):
@@ -226,11 +207,19 @@ def test_jaccard_join_of_many_copies(spark):
         for _ in range(r.randrange(4)):
             w[r.randrange(60)] = f"x{r.randrange(99)}"
         rows.append((i, " ".join(w)))
-    old, jaccard_join.TILE = jaccard_join.TILE, 16
-    try:
-        assert bag(jaccard_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))) == brute_jaccard(rows)
-    finally:
-        jaccard_join.TILE = old
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    for tile in (16, 512):  # many units, and one
+        assert bag(jaccard_join.similar_documents(df, block_words=2000, tile=tile)) == brute_jaccard(rows)
+
+
+def test_comparison_of_tiles():
+    r = np.random.default_rng(2)
+    base = r.integers(0, 1 << 62, 60).astype(np.uint64)
+    sets = [np.unique(np.r_[base[: r.integers(30, 60)], r.integers(0, 1 << 62, r.integers(0, 12)).astype(np.uint64)]) for _ in range(40)]
+    for threshold in (50, 70, 100):
+        want = {(i, j) for i in range(40) for j in range(40) if 100 * len(np.intersect1d(sets[i], sets[j])) >= threshold * len(np.union1d(sets[i], sets[j]))}
+        assert set(zip(*(x.tolist() for x in jaccard_join.compare(sets, None, threshold)))) == {(i, j) for i, j in want if i < j}
+        assert set(zip(*(x.tolist() for x in jaccard_join.compare(sets[:15], sets[15:], threshold)))) == {(i, j - 15) for i, j in want if i < 15 <= j}
 
 
 def test_components(spark):
@@ -250,12 +239,6 @@ def test_components(spark):
         if min(seen) != x:
             want[x] = min(seen)
     assert dict(bag(jaccard_join.components(df))) == want
-    old = jaccard_join.FOREST_ROWS
-    jaccard_join.FOREST_ROWS = 1
-    try:
-        assert dict(bag(jaccard_join.components(df))) == want
-    finally:
-        jaccard_join.FOREST_ROWS = old
 
 
 def test_secrets(spark, docs, rows, empty):
