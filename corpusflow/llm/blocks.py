@@ -23,11 +23,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import U64, filesystem, hash_words
+from corpusflow.llm.common import U64, filesystem
 
 CELL_BITS = 24
 SHARD_TOKENS = 3_000_000  # of the 16.8 million cells of a shard
-BLOCK_WORDS = 1_500_000
+BLOCK_WORDS = 1_000_000
 BLOCK_DOCS = 60_000  # below 2^16: a document's number in its block has 16 bits
 BYTES_A_WORD = 6
 MESSAGE = "shard int, block long, low binary, high binary, times binary"
@@ -80,11 +80,6 @@ def read(path: str, name: str) -> pa.Table:
         return pa.ipc.open_file(f).read_all()
 
 
-def hash_texts(words: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words) of the texts, one after another."""
-    return hash_words([w for ws in words for w in ws]), np.array([len(ws) for ws in words], np.int64)
-
-
 def cells(tokens: np.ndarray, shards: int) -> np.ndarray:
     """Shard and cell of each token, as one number that sorts by shard."""
     return ((tokens >> U64(40)) % U64(shards)) << U64(CELL_BITS) | (tokens & U64((1 << CELL_BITS) - 1))
@@ -122,6 +117,16 @@ def tally(messages: DataFrame, shards: int, partitions: int) -> DataFrame:
     return messages.repartition(shards, "shard").groupBy("shard").applyInArrow(_tally, REPLY).repartition(partitions, "block")
 
 
+def places(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct sorted cells, how often each stands there, and each cell's place among them."""
+    o = np.argsort(cell)
+    new = np.r_[True, cell[o][1:] != cell[o][:-1]] if len(cell) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    place = np.empty(len(cell), np.int64)
+    place[o] = np.cumsum(new) - 1
+    return cell[o][first], np.diff(np.r_[first, len(cell)]), place
+
+
 def ranks(table: pa.Table) -> np.ndarray:
     """A block's replies in the order of its sorted distinct cells."""
     rows = sorted((s, r) for s, r in zip(table["shard"].to_pylist(), table["ranks"].to_pylist()) if r is not None)

@@ -67,6 +67,50 @@ def hash_words(ws: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(a, categorize=False)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = U64(0xD1342543DE82EF95)
+_POWERS = np.cumprod(np.r_[U64(1), np.full(255, _BASE)])
+CHUNK = 1 << 20
+
+
+def text_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash of each word, number of words of each text), without an object a word.
+
+    A word's hash is a polynomial of a random number for each of its bytes. Texts go
+    in chunks of some megabyte, so that the arrays stay small.
+    """
+    hashes, counts, held, size = [], [], [], 0
+    for k, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= CHUNK or k == len(texts) - 1:
+            h, n = _hash_chunk(held)
+            hashes.append(h)
+            counts.append(n)
+            held, size = [], 0
+    return (np.concatenate(hashes), np.concatenate(counts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _hash_chunk(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    buf = np.frombuffer(b" ".join(texts), np.uint8)
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))
+    inside = ~_SPACE[buf]
+    edge = np.diff(np.r_[np.int8(0), inside.view(np.int8), np.int8(0)])
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    size = stop - start
+    first = np.cumsum(size) - size
+    local = np.arange(int(size.sum())) - np.repeat(first, size)
+    powers = _POWERS
+    if int(size.max()) > len(powers):
+        powers = np.cumprod(np.r_[U64(1), np.full(int(size.max()) - 1, _BASE)])
+    h = np.add.reduceat(_BYTE[buf[inside]] * powers[local], first) + size.astype(np.uint64)
+    return mix(h), np.diff(np.r_[0, np.searchsorted(start, ends)])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64."""
     with np.errstate(over="ignore"):

@@ -39,10 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import blocks
-from corpusflow.llm.common import U64, hash_words, lower_ascii, materialize, mix, record, roll, shared_path, words
+from corpusflow.llm.common import U64, lower_ascii, materialize, mix, record, roll, shared_path, text_hashes
 
 TILE = 512
 UNIT_BYTES = 16_000_000
+FOREST = 4_000_000  # links in a partition
 BAND = 1.25
 BITS = 2048
 
@@ -54,13 +55,12 @@ def shingle_hashes(text: str | None, n: int = 3) -> np.ndarray:
 
 def block_shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
     """The shingle sets of a block of texts; a text of fewer words is one shingle."""
-    ws = [lower_ascii(b" ".join(words(t))).split() for t in texts]
-    h = hash_words([w for x in ws for w in x])
+    h, counts = text_hashes([lower_ascii((t or "").encode("utf-8", "surrogatepass")) for t in texts])
     whole = mix(roll(h, n) ^ U64(n))
     out, at = [], 0
-    for x in ws:
-        k = len(x)
-        out.append(np.unique(whole[at : at + k - n + 1]) if k >= n else mix(roll(h[at : at + k], k) ^ U64(k)) if k else np.zeros(0, np.uint64))
+    for k in counts.tolist():
+        s = np.sort(whole[at : at + k - n + 1]) if k >= n else mix(roll(h[at : at + k], k) ^ U64(k)) if k else np.zeros(0, np.uint64)
+        out.append(s[np.r_[True, s[1:] != s[:-1]]] if len(s) > 1 else s)
         at += k
     return out
 
@@ -89,7 +89,7 @@ def _first(path: str, n: int, shards: int, block_words: int):
             ids = pa.array([i for i, _ in rows], pa.int64())
             blocks.write(path, f"{block}.sets", pa.table({"doc_id": ids, "d1": d[:, 0], "d2": d[:, 1], "n": size, "tokens": pa.array([s.tobytes() for s in sets], pa.large_binary())}))
             there = np.repeat(~ids.is_null().to_numpy(False), size)
-            distinct, times = np.unique(blocks.cells(tokens[there], shards), return_counts=True)
+            distinct, times, _ = blocks.places(blocks.cells(tokens[there], shards))
             yield blocks.message(block, distinct, times, shards)
 
     return run
@@ -105,9 +105,8 @@ def _held(path: str, shards: int, threshold: int):
         there = np.repeat(~null, size)
         tokens = np.frombuffer(b"".join(t["tokens"].to_pylist()), "<u8")
         rank = np.zeros(len(tokens), np.uint8)
-        cell = blocks.cells(tokens[there], shards)
-        distinct = np.unique(cell)
-        rank[there] = blocks.ranks(table)[np.searchsorted(distinct, cell)]
+        _, _, place = blocks.places(blocks.cells(tokens[there], shards))
+        rank[there] = blocks.ranks(table)[place]
         owner = np.repeat(np.arange(len(size)), size)
         held = np.bincount(owner[rank > 0], minlength=len(size))
         maybe = (size > 0) & (100 * held >= threshold * size)
@@ -184,7 +183,7 @@ def _forest(batches):
     for b in batches:
         held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
         size += b.num_rows
-        if size > 4_000_000:  # what was seen so far shrinks to its forest
+        if size > FOREST:  # what was seen so far shrinks to its forest
             node, root = forest(*(np.concatenate(c) for c in zip(*held)))
             held, size = [(root, node)], len(node)
     if held:
@@ -199,7 +198,9 @@ def components(links: DataFrame) -> DataFrame:
     Partitions first reduce their links to spanning forests. Labels then pass along
     links and jump to their labels' labels until nothing changes.
     """
-    trees = links.select("a", "b").mapInArrow(_forest, "a long, b long")
+    links = materialize(links.select("a", "b").mapInArrow(_forest, "a long, b long"), "forests")
+    # links of a root meet in partitions of a bounded number of them, which leaves few to pass labels along
+    trees = links.repartition(max(1, -(-links.count() // FOREST)), "a").mapInArrow(_forest, "a long, b long")
     both = materialize(trees.select("a", "b", F.explode(F.array(F.lit(0), F.lit(1))).alias("s")).selectExpr("if(s = 0, a, b) AS a", "if(s = 0, b, a) AS b"), "links")
     label = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"))
     while True:

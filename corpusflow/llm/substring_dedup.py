@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm import blocks
-from corpusflow.llm.common import GOLD, U64, lists, materialize, mix, record, roll, shared_path, words
+from corpusflow.llm.common import GOLD, U64, lists, materialize, mix, record, roll, shared_path, text_hashes
 
 SENT = "shard int, block long, w1 binary, w2 binary, ids binary, counts binary"
 OUT = "doc_id long, n_words long, n_removed long, kept string"
@@ -49,13 +49,12 @@ def doubling(width: int) -> list[int]:
 
 
 class Windows:
-    """The windows of a block's documents; those of one document each, of documents with an id and words enough."""
+    """The windows of a block's documents, each in one document; documents without an id have none."""
 
-    def __init__(self, ids: list[int | None], texts: list[list[bytes]], width: int):
-        self.rows = [k for k, (i, ws) in enumerate(zip(ids, texts)) if i is not None and len(ws) >= width]
-        self.ids = np.array([ids[k] for k in self.rows], np.int64)
-        self.h, self.size = blocks.hash_texts([texts[k] for k in self.rows])
-        self.doc = np.repeat(np.arange(len(self.rows), dtype=np.int32), self.size)
+    def __init__(self, ids: list[int | None], texts: list[bytes]):
+        self.ids = np.array([i for i in ids if i is not None], np.int64)
+        self.h, size = text_hashes([t for i, t in zip(ids, texts) if i is not None])
+        self.doc = np.repeat(np.arange(len(self.ids), dtype=np.int32), size)
 
     def starts(self, level: int) -> np.ndarray:
         n = max(0, len(self.h) - level + 1)
@@ -89,9 +88,9 @@ class Windows:
         return at[total[at + k] - total[at] == k]
 
 
-def _load(path: str, block: int) -> tuple[list[int | None], list[list[bytes]]]:
+def _load(path: str, block: int) -> tuple[list[int | None], list[bytes]]:
     t = blocks.read(path, f"{block}.texts")
-    return t["doc_id"].to_pylist(), [x.split() for x in t["text"].to_pylist()]
+    return t["doc_id"].to_pylist(), t["text"].to_pylist()
 
 
 def _first(path: str, levels: list[int], shards: int, block_words: int):
@@ -100,7 +99,7 @@ def _first(path: str, levels: list[int], shards: int, block_words: int):
             rows.sort(key=lambda r: (r[0] is None, r[0] or 0))
             raw = [(t or "").encode("utf-8", "surrogatepass") for _, t in rows]
             blocks.write(path, f"{block}.texts", pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array(raw, pa.large_binary())}), "zstd")
-            w = Windows([i for i, _ in rows], [x.split() for x in raw], levels[-1])
+            w = Windows([i for i, _ in rows], raw)
             distinct, times, _ = w.cells(levels[0], w.starts(levels[0]), shards)
             yield blocks.message(block, distinct, times, shards)
 
@@ -109,7 +108,7 @@ def _first(path: str, levels: list[int], shards: int, block_words: int):
 
 def _survivors(path: str, levels: list[int], k: int, shards: int, block: int, table: pa.Table) -> tuple[Windows, np.ndarray]:
     """The block's windows and the starts of the candidates of level k, by the tally of level k - 1."""
-    w = Windows(*_load(path, block), levels[-1])
+    w = Windows(*_load(path, block))
     at = w.starts(levels[0]) if k == 1 else blocks.read(path, f"{block}.{levels[k - 1]}")["at"].to_numpy()
     _, _, place = w.cells(levels[k - 1], at, shards)
     return w, w.extended(levels[k], levels[k - 1], at[blocks.ranks(table)[place] > 0])
@@ -180,14 +179,14 @@ def _cover(path: str, width: int, digest: bool):
         ids, texts = _load(path, block)
         still = blocks.read(path, f"{block}.open")
         starts = np.r_[blocks.read(path, f"{block}.gone")["at"].to_numpy(), still["at"].to_numpy()[blocks.ranks(table)[still["place"].to_numpy()] > 0]]
-        rows = [k for k, (i, ws) in enumerate(zip(ids, texts)) if i is not None and len(ws) >= width]
-        edge = np.zeros(sum(len(texts[k]) for k in rows) + 1, np.int64)
+        words = [t.split() for t in texts]
+        edge = np.zeros(sum(map(len, words)) + 1, np.int64)
         edge[starts] += 1
         np.add.at(edge, starts + width, -1)
         on = np.cumsum(edge) > 0
-        removed, kept, at, own = [0] * len(ids), [], 0, set(rows)
-        for k, ws in enumerate(texts):
-            if k in own:
+        removed, kept, at = [0] * len(ids), [], 0
+        for k, ws in enumerate(words):
+            if ids[k] is not None:
                 gone = on[at : at + len(ws)]
                 at += len(ws)
                 if gone.any():
@@ -195,7 +194,7 @@ def _cover(path: str, width: int, digest: bool):
                     ws = [ws[i] for i in np.flatnonzero(~gone)]
             text = b" ".join(ws)
             kept.append(hashlib.sha256(text).hexdigest() if digest else text.decode("utf-8", "surrogatepass"))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array([len(ws) for ws in texts], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array([len(ws) for ws in words], pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.string())})
 
     return run
 
@@ -229,7 +228,7 @@ def longest_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def named(batches):
         for b in batches:
             for i, t in zip(*lists(b, "doc_id", "text")):
-                w = Windows([i], [words(t)], width)
+                w = Windows([i], [(t or "").encode("utf-8", "surrogatepass")])
                 at = w.starts(width)
                 if len(at):
                     yield record(doc_id=(np.full(len(at), i), pa.int64()), pos=(at, pa.int64()), name=(w.names(width)[at].astype(np.int64), pa.int64()))
