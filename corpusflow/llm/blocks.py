@@ -27,7 +27,7 @@ from corpusflow.llm.common import U64, filesystem
 
 CELL_BITS = 24
 SHARD_TOKENS = 3_000_000  # of the 16.8 million cells of a shard
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 750_000
 BLOCK_DOCS = 60_000  # below 2^16: a document's number in its block has 16 bits
 BYTES_A_WORD = 6
 MESSAGE = "shard int, block long, low binary, high binary, times binary"
@@ -46,7 +46,7 @@ def input_bytes(df: DataFrame, text: Column) -> int:
 def plan_sizes(size: int, block_words: int = BLOCK_WORDS) -> tuple[int, int]:
     """(shards, partitions for work by block), both in proportion to the input."""
     words = 2 * size // BYTES_A_WORD  # files are compressed, some to half
-    return max(8, -(-words // SHARD_TOKENS)), max(16, min(100_000, 2 * -(-words // block_words)))
+    return max(8, -(-words // SHARD_TOKENS)), max(16, min(100_000, -(-words // block_words)))
 
 
 def cut(batches, names: list[str], block_words: int, block_docs: int = BLOCK_DOCS):
@@ -104,9 +104,12 @@ def _tally(table: pa.Table) -> pa.Table:
     replies = []
     if low:
         high, times = (np.frombuffer(b"".join(rows[c].to_pylist()), np.uint8) for c in ("high", "times"))
-        cell = np.concatenate(low).astype(np.int64) | high.astype(np.int64) << 16
-        df = np.bincount(cell, weights=times)
-        rank = np.log2(df[cell]).astype(np.uint8)
+        cell = np.concatenate(low).astype(np.uint32) | high.astype(np.uint32) << 16
+        o = np.argsort(cell)
+        new = np.r_[True, cell[o][1:] != cell[o][:-1]]
+        df = np.add.reduceat(times[o], np.flatnonzero(new), dtype=np.int64)
+        rank = np.empty(len(o), np.uint8)
+        rank[o] = np.log2(df).astype(np.uint8)[np.cumsum(new) - 1]
         replies = [r.tobytes() for r in np.split(rank, np.cumsum([len(x) for x in low])[:-1])]
     block = rows["block"].to_pylist() + named["block"].to_pylist()
     return pa.table({"block": pa.array(block, pa.int64()), "shard": pa.array(rows["shard"].to_pylist() + [-1] * named.num_rows, pa.int32()), "ranks": pa.array(replies + [None] * named.num_rows, pa.binary())})
