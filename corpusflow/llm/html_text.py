@@ -5,8 +5,8 @@ class and id words and the shape of its own text give it a unary potential; each
 parent-child edge has a potential that depends on the child's kind of tag. The sum-
 product algorithm passes messages upward and downward through the tree and yields
 each node's exact marginal; text whose element is content with a probability of
-one half or more is kept. All potentials are estimated from labelled pages (those
-below, or the caller's), in closed form.
+one half or more is kept. All potentials, the root's among them, are estimated from
+labelled pages (those of ``html_pages``, or the caller's), in closed form.
 
 Text inside a block is joined without the inline tags; white space becomes one
 space; blocks are joined in page order. Character references are decoded.
@@ -18,7 +18,9 @@ content; repeated rows each get a row; extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import html
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.common import lists, record
+from corpusflow.llm.html_pages import labelled_pages
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*+)>|<[!?/a-zA-Z][^>]*(?:>|\Z)""", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -44,7 +47,11 @@ SCOPES = frozenset("table ul ol dl article section div main aside nav form foote
 REGIONS = frozenset("nav footer header aside form head menu dialog button select fieldset".split())
 MAINS = frozenset("article main".split())
 HINTED = frozenset("div section table ul ol span td".split())
-TEMPER = 0.25  # tag and shape of siblings go together, so each counts for less than an independent sign would
+WHOLES = frozenset("article main section".split())
+HEADS = frozenset("head title meta style script link base".split())
+TELLING = frozenset("cookie cookies privacy copyright reserved imprint advertisement sponsored newsletter subscribe login comments share tweet javascript".split())
+SHORT = 200
+TEMPERS = (0.1, 0.25, 0.5, 1.0)
 SPACE = re.compile(r"\s+")
 
 
@@ -125,71 +132,126 @@ class Page:
                 return
 
 
-def _kind(tag: str, hints: tuple[str, ...]) -> str:
+def _kind(p: Page, i: int, known: frozenset[str] | None = None) -> str:
+    """What an edge's potential depends on: the child's kind of tag; of regions, the tag and whether they lie in an article."""
+    tag = p.tag[i]
     if tag in INLINE:
         return "inline"
-    if tag in REGIONS or tag in RAW:
-        return "region"
+    if tag in REGIONS:
+        return f"{tag}/{p.tag[p.parent[i]] in WHOLES}"
+    if tag in RAW:
+        return "raw"
     if tag in MAINS:
         return "main"
-    return "hinted" if hints and tag in HINTED else "block"
+    return "hinted" if tag in HINTED and (p.hints[i] if known is None else known.intersection(p.hints[i])) else "block"
 
 
 def _features(p: Page) -> list[list[str]]:
-    own, linked = defaultdict(int), defaultdict(int)
+    """Of each element: its tag (regions also by what they lie in), hints, shape of its own text and of all text below, telling words of short texts."""
+    n = len(p.tag)
+    own, linked, said = [0] * n, [0] * n, defaultdict(set)
     for node, t in p.runs:
         if t:
-            n = len(t.strip())
-            k = node
+            size, k, link = len(t.strip()), node, 0
             while k > 0 and p.tag[k] in INLINE:
                 if p.tag[k] == "a":
-                    linked[node] += n
+                    link = size
                 k = p.parent[k]
-            own[node] += n
-            if k != node:
-                own[k] += n
-                linked[k] += linked[node]
+            for at in {node, k}:
+                own[at] += size
+                linked[at] += link
+            if 0 < size < SHORT:
+                said[k].update(TELLING.intersection(WORDS.findall(t.lower())))
+                if "&copy;" in t or "©" in t:
+                    said[k].add("copyright")
+    below, below_linked = [0 if p.tag[i] in INLINE else x for i, x in enumerate(own)], [0 if p.tag[i] in INLINE else x for i, x in enumerate(linked)]
+    for i in range(n - 1, 0, -1):
+        below[p.parent[i]] += below[i]
+        below_linked[p.parent[i]] += below_linked[i]
     out = []
     for i, tag in enumerate(p.tag):
         f = [f"tag={tag}"] + [f"hint={h}" for h in p.hints[i]]
-        n = own[i]
-        if n:
-            f.append(f"size={min(3, int(math.log10(n + 1)))}")
-            f.append(f"link={min(2, int(3 * linked[i] / n))}")
+        if tag in REGIONS and i:
+            f.append(f"in={tag}/{p.tag[p.parent[i]] if p.tag[p.parent[i]] in WHOLES else ''}")
+        if own[i]:
+            f.append(f"size={min(3, int(math.log10(own[i] + 1)))}")
+            f.append(f"link={min(2, int(3 * linked[i] / own[i]))}")
+            if own[i] < SHORT:
+                f += [f"word={w}" for w in said[i]]
+        if below[i] and tag not in INLINE:
+            f.append(f"below={min(4, int(math.log10(below[i] + 1)))}/{min(3, int(4 * below_linked[i] / below[i]))}")
         out.append(f)
     return out
 
 
+def labels(p: Page) -> list[int]:
+    """Each element's label: its nearest mark's; without one, that of most of the text below it."""
+    n = len(p.tag)
+    y: list[int | None] = [None] * n
+    own = [[0, 0] for _ in range(n)]
+    for i in range(n):
+        y[i] = int(p.mark[i]) if p.mark[i] is not None else y[p.parent[i]] if i else None
+    for node, t in p.runs:
+        if t:
+            own[node][y[node] or 0] += len(t.strip())
+    for i in range(n - 1, 0, -1):
+        for k in (0, 1):
+            own[p.parent[i]][k] += own[i][k]
+    return [int(own[i][1] > own[i][0]) if v is None and p.tag[i] not in HEADS else v or 0 for i, v in enumerate(y)]
+
+
 class TreeModel:
     def __init__(self, pages: list[str], smooth: float = 0.5):
-        """Estimate the potentials from pages whose data-y attributes label elements and what is inside them."""
+        """Estimate the potentials from pages whose data-y attributes label elements and what is inside them.
+
+        Features of an element go together, so each counts for less than an independent sign would: the
+        exponents of hints and of other features are those with the fewest characters misjudged on a
+        third of the pages by a model of the others.
+        """
+        parsed = [(p := Page(x), labels(p)) for x in pages]
+        parts = [q for k, q in enumerate(parsed) if k % 3], [q for k, q in enumerate(parsed) if k % 3 == 0]
+        self._estimate(parts[0] or parsed, smooth)
+        costs = []
+        for self.temper in itertools.product(TEMPERS, TEMPERS):
+            costs.append((sum(self._misjudged(p, y) for p, y in parts[1]), self.temper))
+        self.temper = min(costs)[1]
+        self._estimate(parsed, smooth)
+
+    def _estimate(self, parsed: list[tuple[Page, list[int]]], smooth: float) -> None:
         seen, counts = [Counter(), Counter()], [0, 0]
         edge = defaultdict(lambda: [[smooth, smooth], [smooth, smooth]])
-        for page in pages:
-            p = Page(page)
-            y = []
-            for i in range(len(p.tag)):
-                y.append(int(p.mark[i]) if p.mark[i] is not None else (y[p.parent[i]] if i else 0))
+        roots = [smooth, smooth]
+        for p, y in parsed:
+            roots[y[0]] += 1
             for i, f in enumerate(_features(p)):
                 counts[y[i]] += 1
                 seen[y[i]].update(f)
                 if i:
-                    edge[_kind(p.tag[i], p.hints[i])][y[p.parent[i]]][y[i]] += 1
+                    edge[_kind(p, i)][y[p.parent[i]]][y[i]] += 1
         names = set(seen[0]) | set(seen[1])
         self.odds = {f: math.log((seen[1][f] + smooth) / (counts[1] + 2 * smooth)) - math.log((seen[0][f] + smooth) / (counts[0] + 2 * smooth)) for f in names}
+        self.known = frozenset(f[5:] for f in names if f[:5] == "hint=")
         self.edge = {k: tuple(tuple(c / sum(row) for c in row) for row in m) for k, m in edge.items()}
-        self.default = ((0.5, 0.5), (0.5, 0.5))
+        self.default = ((0.8, 0.2), (0.2, 0.8))
+        self.root = (roots[0] / sum(roots), roots[1] / sum(roots))
+
+    def _misjudged(self, p: Page, y: list[int]) -> int:
+        at = self.marginals(p)
+        return sum(len(t.strip()) for node, t in p.runs if t and (at[node] >= 0.5) != y[node])
+
+    def unary(self, p: Page) -> list[tuple[float, float]]:
+        out, (hint, other) = [], self.temper
+        for f in _features(p):
+            o = max(-30.0, min(30.0, sum(self.odds.get(x, 0.0) * (hint if x[:5] == "hint=" else other) for x in f)))
+            a = 1 / (1 + math.exp(-o))
+            out.append((1 - a, a))
+        return out
 
     def marginals(self, p: Page) -> list[float]:
         """P(content) of every element, by one upward and one downward pass."""
         n = len(p.tag)
-        unary = []
-        for f in _features(p):
-            o = max(-30.0, min(30.0, sum(self.odds.get(x, 0.0) * (1.0 if x[:5] == "hint=" else TEMPER) for x in f)))
-            a = 1 / (1 + math.exp(-o))
-            unary.append((1 - a, a))
-        psi = [self.edge.get(_kind(p.tag[i], p.hints[i]), self.default) for i in range(n)]
-        up = [[u0, u1] for u0, u1 in unary]  # unary times the messages of the children, scaled
+        psi = [self.edge.get(_kind(p, i, self.known), self.default) for i in range(n)]
+        up = [[u0, u1] for u0, u1 in self.unary(p)]  # unary times the messages of the children, scaled
         msg = [(1.0, 1.0)] * n
         for i in range(n - 1, 0, -1):  # children come after their parents
             b0, b1 = up[i]
@@ -202,13 +264,12 @@ class TreeModel:
             q0, q1 = q[0] * m0, q[1] * m1
             s = q0 + q1
             q[0], q[1] = max(q0 / s, 1e-300), max(q1 / s, 1e-300)
-        belief = [(1.0, 0.0)] * n
-        out = [0.0] * n
-        # the page itself is boilerplate, unless it has no element at all
+        b0, b1 = up[0][0] * self.root[0], up[0][1] * self.root[1]
+        belief = [(b0 / (b0 + b1), b1 / (b0 + b1))] * n
+        out = [belief[0][1]] * n
         for i in range(1, n):
-            c0, c1 = belief[p.parent[i]] if p.parent[i] else (1.0, 0.0)
-            if p.parent[i]:
-                c0, c1 = c0 / msg[i][0], c1 / msg[i][1]  # without what this child said
+            c0, c1 = belief[p.parent[i]]
+            c0, c1 = c0 / msg[i][0], c1 / msg[i][1]  # without what this child said
             (a00, a01), (a10, a11) = psi[i]
             d0, d1 = c0 * a00 + c1 * a10, c0 * a01 + c1 * a11
             b0, b1 = up[i][0] * d0, up[i][1] * d1
@@ -235,30 +296,9 @@ class TreeModel:
         return " ".join(x for x in (SPACE.sub(" ", html.unescape(b)).strip() for b in blocks) if x)
 
 
-def _page(top: str, content: str, bottom: str) -> str:
-    return f"<html><head><title>Some page</title><meta charset=utf-8></head><body>{top}{content}{bottom}</body></html>"
-
-
-_LONG = "A long paragraph with many words that tells what the article is about, sentence after sentence, until it ends. " * 3
-_MID = "One or two sentences of the article, no more than this."
-_PS = f"<h1>Headline of it</h1><p>{_LONG}</p><p>{_MID}</p><p>Short.</p><h2>Part</h2><p>{_LONG}<b>bold words</b> and <a href=x>a link</a> {_MID}</p><p><b>{_MID}<br><p>{_LONG}</p>"
-_LIST = f"<ul><li>{_MID}</li><li>point</li></ul><ol><li>{_LONG}</li></ol><blockquote><p>{_MID}</p></blockquote><table><tr><td>cell</td><td>12</td></tr></table><pre><code>x = 1</code></pre><figure><figcaption>A picture of the place</figcaption></figure>"
-_MENU = '<ul><li><a href="/a">Home</a></li><li><a href="/b">News</a></li><li><a href="/c">About</a></li></ul>'
-_COMMENTS = f'<h3>3 Comments</h3><div class="comment"><p class="author">Joe says</p><p>{_MID}</p></div><ul class="comment-list"><li class="comment"><p>{_LONG}</p></li></ul><article class="comment"><p>{_MID}</p></article>'
-_FORM = '<form class="search-form"><label>Search</label><input name=q><select><option>all</option></select><button>Go</button><p>Your mail stays private.</p></form>'
-LABELLED = [
-    _page(f"<nav>{_MENU}</nav><div class=ad>{_MID}</div>", f"<article data-y=1>{_PS}{_LIST}</article>", f"<footer>&copy; site. {_MID}</footer>"),
-    _page(f"<header><h1>Site</h1><p>{_MID}</p><nav>{_MENU}</nav></header>", f"<main data-y=1>{_PS}</main>", f'<aside class="sidebar related"><h3>More</h3><p>{_MID}</p>{_MENU}</aside><footer><p>{_LONG}</p></footer>'),
-    _page(f'<div id="header" class="site-header">{_MENU}</div><div class="menu navigation nav">{_MENU}</div>', f'<div id="content" class="main-content" data-y=1>{_PS}{_LIST}</div>', f'<div id="sidebar" class="widget">{_MENU}<p>{_MID}</p></div><div id="footer" class="site-footer"><p>{_MID}</p></div>'),
-    _page(f'<div class="cookie-notice banner notice"><p>We use cookies. {_MID}</p><button>OK</button></div><nav class="breadcrumb breadcrumbs"><a href=a>Home</a> / <a href=b>Part</a></nav>', f'<div class="container wrapper page"><article class="post entry" data-y=1><header data-y=0><p class="meta byline author date">By Someone, 3 May</p></header>{_PS}<div class="share social" data-y=0><a href=x>Share</a><a href=y>Tweet</a></div></article></div>', f'<section id="comments" class="comments">{_COMMENTS}</section><footer>{_MENU}</footer>'),
-    _page(f"{_FORM}<div class='advert ads advertisement sponsored promo'><p>{_LONG}</p><a href=x>Buy</a></div>", f'<section class="story article-body body text" data-y=1>{_PS}<div class="ad advert" data-y=0>{_MID}</div><p>{_LONG}</p><aside data-y=0><p>{_MID}</p></aside><p>{_MID}</p></section>', f'<div class="related recommended popular"><h3>Read also</h3>{_MENU}<p>{_MID}</p></div><div class="newsletter subscribe signup">{_FORM}<p>{_MID}</p></div>'),
-    _page(f"<nav>{_MENU}</nav><div class='alert message warning'><p>{_MID}</p></div>", f"<article data-y=1><section>{_PS}</section><section>{_LIST}</section><section class=comments id=comments data-y=0>{_COMMENTS}</section></article>", f"<div class='copyright legal disclaimer'>{_LONG}</div>"),
-    _page(f'<div role="navigation" class="topbar toolbar">{_MENU}</div><div class="popup modal overlay gdpr consent"><p>{_LONG}</p></div>', f'<div role="main" class="article post-content entry-content" data-y=1>{_PS}</div>', f'<div class="disqus responses reviews replies"><div class="reply response"><p>{_MID}</p></div></div><div role="contentinfo">{_MID}</div><div role="complementary">{_MENU}</div>'),
-    _page(f"<header>{_MENU}</header>", f"<div data-y=1>{_PS}</div>", f"<footer>{_MID}</footer>"),
-    _page(f"<aside><p>{_LONG}</p></aside>", f"<article data-y=1>{_PS}<aside data-y=0><h3>See also</h3><p>{_LONG}</p></aside><p>{_MID}</p><form data-y=0><p>{_MID}</p><label>Name</label></form><nav data-y=0>{_MENU}</nav><div class=notice data-y=0><p>{_MID}</p></div><footer data-y=0><p>{_MID}</p></footer><p>{_LONG}</p><div class=comments data-y=0>{_COMMENTS}</div></article>", f"<aside><h3>Side</h3><p>{_MID}</p>{_MENU}</aside><section class=comments><h2>Comments</h2><p>{_MID}</p><p>{_LONG}</p></section><form><p>{_MID}</p></form>"),
-    _page(f"<nav>{_MENU}<p>{_MID}</p></nav><aside class=sidebar><p>{_LONG}</p><p>{_MID}</p></aside>", f"<main data-y=1><article>{_PS}{_LIST}<aside data-y=0>{_MID}</aside></article></main>", f"<div id=comments><p>{_MID}</p><div class=comment><p>{_LONG}</p></div></div><footer><p>{_MID}</p><p>{_MID}</p></footer>"),
-    _page(f"<nav>{_MENU}</nav>", f"<article data-y=1><h1>Head</h1><div>{_LONG}</div><div><p>{_MID}</p></div></article>", f'<div class="tags categories pagination pager"><a href=a>one</a> <a href=b>two</a></div><footer>{_FORM}</footer>'),
-]
+@functools.cache
+def default_model() -> TreeModel:
+    return TreeModel(labelled_pages())
 
 
 def _extract(model: TreeModel):
@@ -274,4 +314,4 @@ def _extract(model: TreeModel):
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", labelled: list[str] | None = None) -> DataFrame:
     """One row per page: page_id, url, text, n_chars. ``labelled`` pages mark elements with data-y."""
     d = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"), F.col(f"`{html_col}`").alias("html"))
-    return d.mapInArrow(_extract(TreeModel(LABELLED if labelled is None else labelled)), "page_id long, url string, text string, n_chars long")
+    return d.mapInArrow(_extract(default_model() if labelled is None else TreeModel(labelled)), "page_id long, url string, text string, n_chars long")

@@ -70,14 +70,14 @@ class Windows:
     def cells(self, level: int, at: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct sorted cells of the windows at ``at``, in how many documents (1, or 2 for more), and each window's place among them."""
         c = blocks.cells(self.names(level)[at], shards) if len(at) else np.zeros(0, np.uint64)
-        o = np.argsort(c, kind="stable")
-        new = np.r_[True, c[o][1:] != c[o][:-1]] if len(c) else np.zeros(0, bool)
-        first = np.flatnonzero(new)
-        last = np.r_[first[1:], len(c)] - 1 if len(c) else first
-        d = self.doc[at]
-        place = np.empty(len(c), np.int64)
-        place[o] = np.cumsum(new) - 1
-        return c[o][first], 1 + (d[o][first] != d[o][last]), place
+        distinct, n, place = blocks.places(c)
+        if not len(c):
+            return distinct, n, place
+        # documents come in order, so the least and the largest place's owners tell whether one document holds all
+        least, most = np.full(len(distinct), len(self.ids), np.int32), np.full(len(distinct), -1, np.int32)
+        most[place] = self.doc[at]
+        least[place[::-1]] = self.doc[at][::-1]
+        return distinct, 1 + (least != most), place
 
     def extended(self, level: int, before: int, repeated: np.ndarray) -> np.ndarray:
         """Starts of windows of ``level`` words all of whose windows of ``before`` words start in ``repeated``."""
@@ -125,15 +125,27 @@ def _next(path: str, levels: list[int], k: int, shards: int):
     return run
 
 
+def equal_runs(w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal pairs are neighbours, and where each run of them begins."""
+    o = np.argsort(w1)
+    one, two = w1[o], w2[o]
+    same = one[1:] == one[:-1]
+    if (same & (two[1:] != two[:-1])).any():  # a first hash that several windows share
+        o = np.lexsort((w2, w1))
+        one, two = w1[o], w2[o]
+        same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    return o, np.r_[True, ~same] if len(o) else np.zeros(0, bool)
+
+
 def _last(path: str, levels: list[int], shards: int):
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
         w, at = _survivors(path, levels, len(levels) - 1, shards, block, table)
         w1, w2 = w.names(levels[-1])[at] if len(at) else np.zeros(0, np.uint64), w.second_names(levels[-1])[at] if len(at) else np.zeros(0, np.uint32)
-        o = np.lexsort((w2, w1))  # stable, and documents are in order of doc_id, so each group begins with its smallest
-        new = np.r_[True, (w1[o][1:] != w1[o][:-1]) | (w2[o][1:] != w2[o][:-1])] if len(o) else np.zeros(0, bool)
+        o, new = equal_runs(w1, w2)
         group, first = np.cumsum(new) - 1, np.flatnonzero(new)
-        at, w1, w2, owner = at[o], w1[o][first], w2[o][first], w.doc[at[o][first]]
+        owner = np.minimum.reduceat(w.doc[at[o]], first) if len(o) else np.zeros(0, np.int32)  # documents are in order of doc_id
+        at, w1, w2 = at[o], w1[o][first], w2[o][first]
         later = w.ids[w.doc[at]] > w.ids[owner][group] if len(at) else np.zeros(0, bool)
         shard = ((w1 >> U64(40)) % U64(shards)).astype(np.int32)
         s = np.lexsort((owner, shard))
@@ -164,8 +176,7 @@ def _least(table: pa.Table) -> pa.Table:
         parts = rows["w1"].to_pylist()
         w1, w2 = np.frombuffer(b"".join(parts), "<u8"), np.frombuffer(b"".join(rows["w2"].to_pylist()), "<u4")
         ids = np.repeat(np.frombuffer(b"".join(rows["ids"].to_pylist()), "<i8"), np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4"))
-        o = np.lexsort((w2, w1))
-        new = np.r_[True, (w1[o][1:] != w1[o][:-1]) | (w2[o][1:] != w2[o][:-1])]
+        o, new = equal_runs(w1, w2)
         least = np.minimum.reduceat(ids[o], np.flatnonzero(new))[np.cumsum(new) - 1]
         gone = np.empty(len(o), np.uint8)
         gone[o] = ids[o] > least
