@@ -147,7 +147,7 @@ def _kind(p: Page, i: int, known: frozenset[str] | None = None) -> str:
 
 
 def _features(p: Page) -> list[list[str]]:
-    """Of each element: its tag (regions also by what they lie in), hints, shape of its own text and of all text below, telling words of short texts."""
+    """Of each element: its tag (regions also by what they lie in), hints, shape of its own text and of all text below, its share of the page's plain text, telling words of short texts."""
     n = len(p.tag)
     own, linked, said = [0] * n, [0] * n, defaultdict(set)
     for node, t in p.runs:
@@ -168,6 +168,7 @@ def _features(p: Page) -> list[list[str]]:
     for i in range(n - 1, 0, -1):
         below[p.parent[i]] += below[i]
         below_linked[p.parent[i]] += below_linked[i]
+    plain = max(1, below[0] - below_linked[0]) * 1.0001
     out = []
     for i, tag in enumerate(p.tag):
         f = [f"tag={tag}"] + [f"hint={h}" for h in p.hints[i]]
@@ -180,6 +181,7 @@ def _features(p: Page) -> list[list[str]]:
                 f += [f"word={w}" for w in said[i]]
         if below[i] and tag not in INLINE:
             f.append(f"below={min(4, int(math.log10(below[i] + 1)))}/{min(3, int(4 * below_linked[i] / below[i]))}")
+            f.append(f"share={int(5 * (below[i] - below_linked[i]) / plain)}")
         out.append(f)
     return out
 
