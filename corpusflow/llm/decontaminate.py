@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import U64, hash_words, lists, roll
+from corpusflow.llm.common import U64, lists, roll, text_hashes
 
 TOKEN = re.compile(r"\w+")
 FILTER_BITS = 22
@@ -39,13 +39,31 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(text.lower()) if text else []
 
 
+_APART = bytes(c if c >= 128 or chr(c).isalnum() or c == 95 else 32 for c in range(256))
+
+
+def plain(text: str | None) -> bytes:
+    """The text in lower case with a space for whatever isn't in a token."""
+    t = (text or "").lower()
+    if not t.isascii():
+        for c in set(t):
+            if c > "\x7f" and not c.isalnum():
+                t = t.replace(c, " ")
+    return t.encode("utf-8", "surrogatepass").translate(_APART)
+
+
+def hashes(texts: list[str | None]) -> list[np.ndarray]:
+    """Each text's token hashes; a batch of texts is hashed at once."""
+    h, n = text_hashes([plain(t) for t in texts])
+    return np.split(h, np.cumsum(n)[:-1]) if texts else []
+
+
 class Seeds:
     """The n-grams of a block of items as sorted hashes, with a bit filter before them."""
 
     def __init__(self, items: list[tuple[int, str]], n: int):
         self.ids, self.words = [], []
-        for i, t in items:
-            h = hash_words(tokens(t))
+        for (i, _), h in zip(items, hashes([t for _, t in items])):
             if len(h):
                 self.ids.append(i)
                 self.words.append(h)
@@ -90,27 +108,40 @@ class Seeds:
         return np.concatenate(at), np.concatenate(where)
 
 
+def _rows(item: np.ndarray, window: np.ndarray, local: bool):
+    """The rows of the alignment matrix one after another; with ``local`` no cell is below zero."""
+    j = np.arange(len(window) + 1, dtype=np.int64)
+    last = np.zeros(len(j), np.int64) if local else GAP * j
+    yield last
+    for i, word in enumerate(item.tolist(), 1):
+        row = np.empty(len(j), np.int64)
+        row[0] = 0 if local else GAP * i
+        row[1:] = np.maximum(last[:-1] + np.where(window == np.uint64(word), MATCH, MISMATCH), last[1:] + GAP)
+        if local:
+            np.maximum(row, 0, out=row)
+        last = np.maximum.accumulate(row - GAP * j) + GAP * j
+        yield last
+
+
 def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
-    """Best local alignment: (score, first and last + 1 word of the window in it)."""
-    m, n = len(item), len(window)
-    best = np.zeros((m + 1, n + 1), np.int32)
-    j = np.arange(n + 1, dtype=np.int32)
-    for i in range(1, m + 1):
-        row = np.zeros(n + 1, np.int32)
-        row[1:] = np.maximum(best[i - 1, :-1] + np.where(window == item[i - 1], MATCH, MISMATCH), best[i - 1, 1:] + GAP)
-        row = np.maximum(row, 0)
-        best[i] = np.maximum.accumulate(row - GAP * j) + GAP * j
-    flat = int(best.argmax())
-    i, e = divmod(flat, n + 1)
-    score, k = int(best[i, e]), e
-    while i > 0 and k > 0 and best[i, k] > 0:
-        if best[i, k] == best[i - 1, k - 1] + (MATCH if window[k - 1] == item[i - 1] else MISMATCH):
-            i, k = i - 1, k - 1
-        elif best[i, k] == best[i - 1, k] + GAP:
-            i -= 1
-        else:
-            k -= 1
-    return score, k, e
+    """Best local alignment: (score, first and last + 1 word of the window in it).
+
+    Only two rows of the matrix are held at a time. The best score's first end is found
+    forward, then its start by aligning backward from there.
+    """
+    score, i, e = 0, 0, 0
+    for k, row in enumerate(_rows(item, window, True)):
+        at = int(row.argmax())
+        if row[at] > score:
+            score, i, e = int(row[at]), k, at
+    if not score:
+        return 0, 0, 0
+    back = window[max(0, e - 3 * i) : e][::-1]  # a longer stretch has more gaps than the matches are worth
+    for row in _rows(item[:i][::-1], back, False):
+        at = np.flatnonzero(row == score)
+        if len(at):
+            return score, e - int(at[0]), e
+    raise AssertionError("an alignment has a start")
 
 
 def leaks(seeds: Seeds, h: np.ndarray, threshold: float) -> list[tuple[int, float, int, int, int]]:
@@ -160,8 +191,9 @@ def _leaks(shared, threshold: float):
         seeds = shared.value
         for b in batches:
             rows = []
-            for i, t in zip(*lists(b, "doc_id", "text")):
-                rows += [(i, seeds.ids[k], s, a, e, n) for k, s, a, e, n in leaks(seeds, hash_words(tokens(t)), threshold)]
+            ids, texts = lists(b, "doc_id", "text")
+            for i, h in zip(ids, hashes(texts)):
+                rows += [(i, seeds.ids[k], s, a, e, n) for k, s, a, e, n in leaks(seeds, h, threshold)]
             cols = list(zip(*rows)) or [()] * 6
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "score", "start_word", "end_word", "n_seeds"])
@@ -193,7 +225,7 @@ def _without(shared, threshold: float, at: int):
     def run(batches):
         seeds = shared.value
         for b in batches:
-            clean = [not leaks(seeds, hash_words(tokens(t)), threshold) for t in b.column(at).to_pylist()]
+            clean = [not leaks(seeds, h, threshold) for h in hashes(b.column(at).to_pylist())]
             yield b.filter(pa.array(clean, pa.bool_()))
 
     return run

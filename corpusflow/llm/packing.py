@@ -6,9 +6,9 @@ at most ``max_len`` cells; a dynamic program over it chooses the bucket boundari
 with the least total padding. Inside a bucket the pieces, in order of (doc_id,
 piece), form batches of as many sequences as the token budget holds.
 
-The order inside a bucket is found without a single-task window: pieces fall into
-ranges of doc_id of bounded size, are numbered inside (bucket, range), and the
-counts of the ranges before are added.
+The order inside a bucket is found without a single-task window: pieces are sorted
+by ranges of (bucket, doc_id, piece, length, a number of the row), which hot ids
+don't fill, and numbered there; the counts of the ranges before are added.
 
 Defined cases: a null or empty text has no tokens and no piece; rows with equal
 ids are separate documents; a null id sorts first; an empty table gives no row.
@@ -83,13 +83,15 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
     bucket = F.lit(bounds[-1] if bounds else max_len)
     for b in reversed(bounds[:-1]):
         bucket = F.when(F.col("n_tokens") <= b, F.lit(b)).otherwise(bucket)
-    ranges = max(1, -(-total // RANGE_ROWS))
-    cuts = pieces.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges) if ranges > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(int(x)) for x in sorted(set(cuts))]), lambda x: x < F.col("doc_id"))) if cuts else F.lit(0)
-    own = pieces.withColumn("bucket", bucket.cast("long")).withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(part))
-    before = own.groupBy("bucket", "range").count().withColumn("before", F.sum("count").over(Window.partitionBy("bucket").orderBy("range")) - F.col("count")).drop("count")
-    at = F.row_number().over(Window.partitionBy("bucket", "range").orderBy("doc_id", "piece", "n_tokens")) - 1
-    numbered = own.withColumn("at", at).join(before, ["bucket", "range"]).withColumn("at", F.col("at") + F.col("before"))
+    own = pieces.withColumn("bucket", bucket.cast("long")).withColumn("tie", F.monotonically_increasing_id())
+    keys = ["bucket", "doc_id", "piece", "n_tokens", "tie"]
+    ranges = own.repartitionByRange(max(1, -(-total // RANGE_ROWS)), *keys).sortWithinPartitions(*keys)
+    # the number of a row in its range, and above it the range's own
+    placed = materialize(ranges.withColumn("place", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("place", 33).alias("part")
+    starts = placed.groupBy("bucket", part).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))  # a row or two a range
+    before = starts.select("bucket", "part", "first", (F.sum("n").over(Window.partitionBy("bucket").orderBy("part")) - F.col("n")).alias("before"))
+    numbered = placed.withColumn("part", part).join(before, ["bucket", "part"]).withColumn("at", F.col("place") - F.col("first") + F.col("before"))
     per = F.floor(F.lit(budget) / F.col("bucket"))
     return numbered.select(
         "doc_id", "piece", "start", "n_tokens", "bucket",

@@ -43,8 +43,8 @@ cand AS (SELECT * FROM ok WHERE kind < 3 OR NOT EXISTS (SELECT 1 FROM ok o WHERE
 freq AS (SELECT v, count(DISTINCT owner) AS owners, count(DISTINCT repo) AS repos FROM cand JOIN docs USING (r) GROUP BY v),
 per AS (SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
   string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3) AS base,
-  string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3 OR owners < 2) AS spans,
-  count(*) FILTER (owners < 2) AS n_live, count(*) FILTER (owners >= 2) AS n_shared, max(repos) AS max_repos
+  string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind) FILTER (kind < 3 OR (owners < 2 AND repos < 8)) AS spans,
+  count(*) FILTER (owners < 2 AND repos < 8) AS n_live, count(*) FILTER (owners >= 2 OR repos >= 8) AS n_shared, max(repos) AS max_repos
   FROM cand JOIN freq USING (v) GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
   coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_shared, 0) AS n_shared, coalesce(max_repos, 0) AS max_repos

@@ -2,9 +2,9 @@
 
 Three base patterns and one wide candidate pattern run over every whole text. The
 SHA-256 of each candidate value is aggregated over the corpus by distinct
-repositories and owners: a value that several owners hold is a copied example, a
-value of one owner alone looks live. Wide candidates (long mixed tokens in no
-assignment) become spans of the kind ``owned`` only if one owner holds them.
+repositories and owners: a value that several owners hold, or one owner in many
+repositories, is a copied example; another looks live. Wide candidates (long mixed
+tokens in no assignment) become spans of the kind ``owned`` only if they look live.
 
 Defined cases: a null text is empty; a null owner or repository is one of its
 own; rows with equal ids are separate documents of one repository; overlapping
@@ -29,7 +29,6 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run is one leftmost match, so its least
 WIDE = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 DIGIT, LETTER = re.compile(r"[0-9]"), re.compile(r"[A-Za-z]")
 MIN_DIGITS = MIN_LETTERS = 4
-SALTS = 16
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int, str]], list[tuple[int, int, int, str]]]:
@@ -78,11 +77,12 @@ def ownership(candidates: DataFrame) -> DataFrame:
     return owners.join(repos, "sha")
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", shared_owners: int = 2) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str = "doc_id", shared_owners: int = 2, shared_repos: int = 8) -> DataFrame:
     """One row per document: the counts and spans, and how its candidates are owned.
 
-    ``n_live`` counts the candidates that one owner alone holds, ``n_shared`` those
-    that ``shared_owners`` or more hold, ``max_repos`` the most repositories of any.
+    ``n_shared`` counts the candidates that ``shared_owners`` or more owners hold, or one
+    owner in ``shared_repos`` or more repositories; ``n_live`` the others; ``max_repos`` is
+    the most repositories of any.
     """
     d = docs.select(
         F.col(f"`{id_col}`").cast("long").alias("doc_id"),
@@ -94,10 +94,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = materialize(found.withColumn("row", F.monotonically_increasing_id()), "secrets")
     cand = found.filter(F.size("cand") > 0).select("row", "owner", "repo", F.explode("cand").alias("c")).select("row", "owner", "repo", "c.*")
     freq = ownership(cand)
-    salt = F.pmod(F.col("row"), F.lit(SALTS)).alias("salt")
-    wide = freq.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    marked = cand.withColumn("salt", salt.cast("int")).join(wide, ["sha", "salt"])
-    live = F.col("n_owners") < shared_owners
+    marked = cand.join(freq, "sha")  # adaptive execution splits the partition of a hot value
+    live = (F.col("n_owners") < shared_owners) & (F.col("n_repos") < shared_repos)
     span = F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), F.col("kind") + 1), F.col("start"), F.col("end"))
     kept = (F.col("kind") < 3) | live
     by_doc = marked.groupBy("row").agg(

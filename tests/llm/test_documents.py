@@ -359,6 +359,38 @@ def test_alignment():
         assert s == brute_align(a, b) and brute_align(a, b[first:last]) == s
 
 
+def test_alignment_of_long_texts():
+    r = np.random.default_rng(3)
+    item = r.integers(0, 1 << 40, 2000).astype(np.uint64)
+    text = r.integers(0, 1 << 40, 60_000).astype(np.uint64)
+    text[30_000:32_000] = item
+    text[31_000] = 5
+    assert decontaminate.align(item, text) == (2 * 1999 - 1, 30_000, 32_000)
+
+
+def test_tokens_and_their_hashes():
+    texts = ["A b-c_d\u2019s \u201cÉté\u201d 12.5", "", None, "ÉTÉ a B c_d", "\u00e9t\u00e9\u3000x\u0301y 日本"]
+    words = [decontaminate.tokens(t) for t in texts]
+    assert [decontaminate.plain(t).decode().split() for t in texts] == words
+    got = decontaminate.hashes(texts)
+    flat, hs = [w for ws in words for w in ws], np.concatenate(got)
+    assert [len(h) for h in got] == [len(ws) for ws in words] and all((hs[i] == hs[j]) == (flat[i] == flat[j]) for i in range(len(flat)) for j in range(len(flat)))
+
+
+def test_leaks_against_alignment_of_all_pairs(spark):
+    """Every document that a test item aligns with at the threshold, by aligning each with each: what seeds miss."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select("item_id", "text").collect()
+    h, g = decontaminate.hashes([r[1] for r in docs]), decontaminate.hashes([r[1] for r in items])
+    want = set()
+    for d, a in zip(docs, h):
+        for i, b in zip(items, g):
+            if len(b) and np.isin(b, a).sum() >= 0.5 * len(b) and decontaminate.align(b, a)[0] >= 0.5 * 2 * len(b):
+                want.add((d[0], i[0]))
+    found = decontaminate.find_leaks(spark.createDataFrame(docs), spark.createDataFrame(items)).collect()
+    assert want and {(r["doc_id"], r["item_id"]) for r in found} == want
+
+
 def test_decontamination(spark, docs, rows, empty):
     r = random.Random(6)
     vocab = [f"w{k}" for k in range(300)]
@@ -480,23 +512,27 @@ def test_nearest(spark):
     rows = [(i, x[i].tolist(), "c") for i in range(600)]
     rows += [(600, None, "c"), (620, [0.0] * 16, "c"), (640, [float("nan")] * 16, "c"), (660, [1.0] * 5, "c"), (680, [None] * 16, "c"), (700, [float("inf")] + [0.0] * 15, "c"), (None, [1.0] * 16, "c")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard string")
-    got = {}
-    for q in ann.nearest(df, F.col("vec_id") % 20 == 0).collect():
-        got.setdefault(q["query_id"], []).append((q["rank"], q["vec_id"], q["score"]))
-    assert sorted(got) == list(range(0, 600, 20))
-    hit = 0
-    for q, found in got.items():
-        s = x.astype(float) @ x[q].astype(float)
-        s[q] = -1e9
-        best = np.lexsort((np.arange(600), -s))[:20]
-        found.sort()
-        assert [k for k, *_ in found] == list(range(1, 21))
-        assert all(abs(s[i] - v) < 1e-9 for _, i, v in found)
-        hit += len({i for _, i, _ in found} & set(best.tolist()))
-    assert hit >= 0.9 * 20 * len(got)
+    for shard_rows in (ann.SHARD_ROWS, 150):  # one shard, and several
+        got = {}
+        for q in ann.nearest(df, F.col("vec_id") % 20 == 0, shard_rows=shard_rows).collect():
+            got.setdefault(q["query_id"], []).append((q["rank"], q["vec_id"], q["score"]))
+        assert sorted(got) == list(range(0, 600, 20))
+        hit = 0
+        for q, found in got.items():
+            s = x.astype(float) @ x[q].astype(float)
+            s[q] = -1e9
+            best = np.lexsort((np.arange(600), -s))[:20]
+            found.sort()
+            assert [k for k, *_ in found] == list(range(1, 21))
+            assert all(abs(s[i] - v) < 1e-9 for _, i, v in found)
+            hit += len({i for _, i, _ in found} & set(best.tolist()))
+        assert hit >= 0.9 * 20 * len(got)
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 0.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in ann.nearest(few, F.col("vec_id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 3, 1.0), (0, 3, 2, 0.0)]
     assert ann.nearest(few.limit(0), F.col("vec_id") == 0).count() == 0
+    mixed = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 2.0]), (1, [0.5, 0.1]), (2, [3.0]), (3, [2.0]), (20, [1e-9]), (4, None)], "vec_id long, embedding array<double>")
+    want = [(0, 1, 1, 0.2), (0, 1, 1, 0.5), (20, 1, 2, 3.0 * 1e-9), (20, 2, 3, 2.0 * 1e-9)]  # by length; both rows of the id 0 ask
+    assert sorted(tuple(r) for r in ann.nearest(mixed, F.col("vec_id") % 20 == 0).collect()) == want
 
 
 def test_words_and_hashes():
