@@ -64,6 +64,24 @@ def cut(batches, names: list[str], block_words: int, block_docs: int = BLOCK_DOC
         yield first << 20 | k, held
 
 
+def cut_tables(batches, text: str, block_words: int, block_docs: int = BLOCK_DOCS):
+    """As ``cut``, with all columns as an Arrow table."""
+    first = TaskContext.get().partitionId() if TaskContext.get() else 0
+    held, size, docs, k = [], 0, 0, 0
+    for b in batches:
+        words = pa.compute.fill_null(pa.compute.binary_length(b.column(b.schema.get_field_index(text))), 0).to_numpy(False) // BYTES_A_WORD + 1
+        at = 0
+        while at < b.num_rows:
+            n = max(1, min(int(np.searchsorted(np.cumsum(words[at:]), block_words - size)) + 1, b.num_rows - at, block_docs - docs))
+            held.append(b.slice(at, n))
+            size, docs, at = size + int(words[at : at + n].sum()), docs + n, at + n
+            if size >= block_words or docs >= block_docs:
+                yield first << 20 | k, pa.Table.from_batches(held)
+                held, size, docs, k = [], 0, 0, k + 1
+    if held:
+        yield first << 20 | k, pa.Table.from_batches(held)
+
+
 def write(path: str, name: str, table: pa.Table, compression: str | None = None) -> None:
     """One Arrow file, in place as a whole or not at all."""
     fs, root = filesystem(path)

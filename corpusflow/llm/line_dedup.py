@@ -1,15 +1,20 @@
 """Line dedup by a sharded minimal perfect hash.
 
 Lines that many documents hold go everywhere but in the largest doc_id holding
-them. Distinct line hashes (128 bits) with their document counts come from one
-aggregation; the hashes found in enough documents are split into shards, each
-shard becomes a minimal perfect hash that indexes fingerprint, count and keeper
-arrays, written as one file in the shared folder. Documents probe these arrays;
-no line is ever joined, and a hot line costs one array cell.
+them. Blocks of documents lie in files in the shared folder (``blocks``); a block
+sends each distinct line hash (128 bits) once, with how many of its documents hold
+the line and the largest doc_id. A shard builds a minimal perfect hash over its
+distinct line hashes, which indexes a compact fingerprint array, a count array and
+a keeper array; the blocks' entries probe the index to fill counts and keepers, and
+probe it again for their answers: at the probe the count decides. The answers meet
+by block, where the documents are; no line is joined and no text shuffled. A shard's
+index is made and probed in one task, whatever the number of shards, and a line that
+a third of all documents hold is one entry a block.
 
 Defined cases: a null or empty text is one empty line; each row is a document of
 its own, also when rows repeat; a row with a null id never counts as holding a
-line and keeps its lines; extra columns are ignored.
+line and keeps its lines; extra columns are ignored. ``docs`` should be a scan of
+files or another source that gives equal rows in equal order.
 """
 
 from __future__ import annotations
@@ -18,16 +23,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm import mph
-from corpusflow.llm.common import clean, lists, materialize, record, shared_path
+from corpusflow.llm import blocks, mph
+from corpusflow.llm.common import U64, record, shared_path
 
 WHITE = "\x20\t\n\x0b\x0c\r"
-SHARD_KEYS = 1 << 18
+SENT = "shard int, block long, h1 binary, h2 binary, times binary, keepers binary"
+REPLY = "block long, shard int, hot binary, keepers binary"
 
 
 def line_keys(text: str | None, min_chars: int) -> tuple[list[str], list[tuple[int, bytes]]]:
@@ -42,160 +48,134 @@ def line_keys(text: str | None, min_chars: int) -> tuple[list[str], list[tuple[i
     return ls, out
 
 
-def _counts(min_chars: int):
+def _keys(ids: list[int | None], texts: list[str | None], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, line number, 128-bit hash) of the lines long enough, of rows with an id."""
+    row, line, keys = [], [], []
+    for k, (i, t) in enumerate(zip(ids, texts)):
+        if i is not None and t and len(t) >= min_chars:
+            own = line_keys(t, min_chars)[1]
+            row += [k] * len(own)
+            line += [x for x, _ in own]
+            keys += [x for _, x in own]
+    return np.array(row, np.int32), np.array(line, np.int32), np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
+
+
+def _first(path: str, shards: int, min_chars: int, block_words: int):
     def run(batches):
-        for b in batches:
-            ids, texts = lists(b, "doc_id", "text")
-            keys, docs = [], []
-            for i, t in zip(ids, texts):
-                if i is None:
-                    continue
-                own = {k for _, k in line_keys(t, min_chars)[1]}
-                keys.extend(own)
-                docs.extend([i] * len(own))
-            if not keys:
-                continue
-            h = np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
-            d = np.array(docs, np.int64)
-            o = np.lexsort((d, h[:, 1], h[:, 0]))
-            h, d = h[o], d[o]
-            first = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]).any(axis=1)])
-            last = np.r_[first[1:], len(h)] - 1
-            yield record(
-                h1=(h[first, 0].astype(np.int64), pa.int64()),
-                h2=(h[first, 1].astype(np.int64), pa.int64()),
-                n=(last - first + 1, pa.int64()),
-                keeper=(d[last], pa.int64()),
-            )
+        for block, table in blocks.cut_tables(batches, "text", block_words):
+            blocks.write(path, f"{block}.rows", table, "zstd")
+            ids = table["doc_id"].to_pylist()
+            row, line, h = _keys(ids, table["text"].to_pylist(), min_chars)
+            shard = ((h[:, 1] >> U64(40)) % U64(shards)).astype(np.int32)
+            o = np.lexsort((row, h[:, 1], h[:, 0], shard))
+            h, own, shard = h[o], row[o], shard[o]
+            new = np.r_[True, (h[1:] != h[:-1]).any(axis=1)] if len(o) else np.zeros(0, bool)
+            first = np.flatnonzero(new)
+            place = np.empty(len(o), np.int32)
+            place[o] = np.cumsum(new) - 1
+            blocks.write(path, f"{block}.lines", pa.table({"row": row, "line": line, "place": place}), "zstd")
+            times = np.add.reduceat(new | np.r_[True, own[1:] != own[:-1]], first, dtype=np.int64) if len(o) else np.zeros(0, np.int64)
+            keeper = np.maximum.reduceat(np.array([ids[k] for k in own], np.int64), first) if len(o) else np.zeros(0, np.int64)
+            h, shard = h[first], shard[first]
+            cuts = np.searchsorted(shard, np.arange(shards + 1))
+            used = [k for k in range(shards) if cuts[k] < cuts[k + 1]]
+            part = lambda a, kind: (pa.array([a[cuts[k] : cuts[k + 1]].astype(kind).tobytes() for k in used] + [None], pa.binary()))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*used, block % shards], pa.int32()), pa.array([block] * (len(used) + 1), pa.int64()), part(h[:, 0], "<u8"), part(h[:, 1], "<u8"), part(times, "<u4"), part(keeper, "<i8")],
+                names=["shard", "block", "h1", "h2", "times", "keepers"])
 
     return run
 
 
-def _build(path: str):
+class LineIndex:
+    """A minimal perfect hash over distinct line hashes, with fingerprint, count and keeper arrays."""
+
+    def __init__(self, h1: np.ndarray, h2: np.ndarray):
+        o = np.lexsort((h2, h1))
+        a, b = h1[o], h2[o]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(o) else np.zeros(0, bool)
+        a, b = a[new], b[new]
+        self.f = mph.build(a, b)
+        at = mph.lookup(self.f, a, b)
+        self.fp = np.zeros(len(a), np.uint32)
+        self.fp[at] = self._print(a, b)
+        self.count, self.keeper = np.zeros(len(a), np.int64), np.full(len(a), np.iinfo(np.int64).min)
+
+    @staticmethod
+    def _print(h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        return ((h1 ^ (h2 >> U64(7))) & U64(0xFFFFFFFF)).astype(np.uint32)
+
+    def find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Each hash's index, or -1."""
+        at = mph.lookup(self.f, h1, h2)
+        return np.where((at >= 0) & (self.fp[np.maximum(at, 0)] == self._print(h1, h2)), at, -1) if len(self.fp) else np.full(len(h1), -1)
+
+    def add(self, at: np.ndarray, times: np.ndarray, keepers: np.ndarray) -> None:
+        np.add.at(self.count, at, times)
+        np.maximum.at(self.keeper, at, keepers)
+
+
+def _probe(min_docs: int):
     def run(table: pa.Table) -> pa.Table:
-        h1 = table["h1"].to_numpy().astype(np.uint64)
-        h2 = table["h2"].to_numpy().astype(np.uint64)
-        shard = table["shard"][0].as_py()
-        f = mph.build(h1, h2)
-        at = mph.lookup(f, h1, h2)
-        size = int(f["rank"][-1]) + len(f["left"])
-        fp, keeper, n = np.zeros((size, 2), np.uint64), np.zeros(size, np.int64), np.zeros(size, np.int64)
-        fp[at, 0], fp[at, 1] = h1, h2
-        keeper[at], n[at] = table["keeper"].to_numpy(), table["n"].to_numpy()
-        fs, root = pafs.FileSystem.from_uri(path)
-        fs.create_dir(root, recursive=True)
-        tmp = f"{root}/.{shard}-{np.random.default_rng().integers(1 << 62)}"
-        with fs.open_output_stream(tmp) as out:
-            out.write(mph.dump(f | {"fp": fp, "keeper": keeper, "n": n}))
-        fs.move(tmp, f"{root}/{shard}.mph")  # a second attempt writes the same bytes
-        return pa.table({"shard": pa.array([shard], pa.int64()), "keys": pa.array([len(h1)], pa.int64())})
+        named = table.filter(pa.compute.is_null(table["h1"]))
+        rows = table.filter(pa.compute.is_valid(table["h1"]))
+        hot, keepers = [], []
+        if rows.num_rows:
+            h1, h2, times, best = (np.frombuffer(b"".join(rows[c].to_pylist()), k) for c, k in (("h1", "<u8"), ("h2", "<u8"), ("times", "<u4"), ("keepers", "<i8")))
+            index = LineIndex(h1, h2)
+            at = index.find(h1, h2)
+            index.add(at, times, best)
+            ends = np.cumsum([len(x) // 8 for x in rows["h1"].to_pylist()])[:-1]
+            for part in np.split(at, ends):
+                on = index.count[part] >= min_docs
+                hot.append(on.astype(np.uint8).tobytes())
+                keepers.append(index.keeper[part[on]].astype("<i8").tobytes())
+        more = [None] * named.num_rows
+        return pa.table({"block": pa.array(rows["block"].to_pylist() + named["block"].to_pylist(), pa.int64()), "shard": pa.array(rows["shard"].to_pylist() + [-1] * len(more), pa.int32()),
+                         "hot": pa.array(hot + more, pa.binary()), "keepers": pa.array(keepers + more, pa.binary())})
 
     return run
 
 
-class LineIndex:
-    """The shards of one index; a worker opens those it needs and keeps the latest few."""
-
-    def __init__(self, path: str, shards: int, keep: int = 32):
-        self.path, self.shards, self.keep, self.open = path, shards, keep, {}
-
-    def shard(self, k: int) -> dict | None:
-        if k not in self.open:
-            while len(self.open) >= self.keep:
-                self.open.pop(next(iter(self.open)))
-            fs, root = pafs.FileSystem.from_uri(self.path)
-            name = f"{root}/{k}.mph"
-            if fs.get_file_info(name).type == pafs.FileType.NotFound:
-                self.open[k] = None
-            else:
-                with fs.open_input_file(name) as f:
-                    self.open[k] = mph.load(f.read())
-        return self.open[k]
-
-    def probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(found, keeper) of rows of 128-bit hashes; one pass per shard."""
-        found, keeper = np.zeros(len(h), bool), np.zeros(len(h), np.int64)
-        own = h[:, 1] % np.uint64(self.shards)
-        for k in np.unique(own).tolist():
-            f = self.shard(int(k))
-            if f is None:
-                continue
-            rows = np.flatnonzero(own == k)
-            at = mph.lookup(f, h[rows, 0], h[rows, 1])
-            ok = at >= 0
-            ok[ok] = (f["fp"][at[ok]] == h[rows[ok]]).all(axis=1)
-            found[rows[ok]] = True
-            keeper[rows[ok]] = f["keeper"][at[ok]]
-        return found, keeper
-
-
-def build_index(docs: DataFrame, min_docs: int = 5, min_chars: int = 40) -> tuple[str, int]:
-    """Count lines over all documents and write the index; returns its path and number of shards.
-
-    ``docs`` has doc_id (long) and text.
-    """
-    spark = docs.sparkSession
-    hot = (
-        docs.mapInArrow(_counts(min_chars), "h1 long, h2 long, n long, keeper long")
-        .groupBy("h1", "h2")
-        .agg(F.sum("n").alias("n"), F.max("keeper").alias("keeper"))
-        .filter(F.col("n") >= min_docs)
-    )
-    hot = materialize(hot, "lines")
-    shards = max(1, -(-hot.count() // SHARD_KEYS))
-    path = shared_path(spark, "line-index")
-    # h2 as unsigned, modulo shards: the high half keeps the sign out of it
-    half = F.lit(1 << 32)
-    low, high = F.pmod(F.col("h2"), half), F.pmod(F.shiftrightunsigned("h2", 32), half)
-    shard = F.pmod(F.pmod(high, F.lit(shards)) * F.pmod(half, F.lit(shards)) + low, F.lit(shards))
-    hot.withColumn("shard", shard.cast("long")).groupBy("shard").applyInArrow(_build(path), "shard long, keys long").agg(F.sum("keys")).collect()
-    return path, shards
-
-
-def _drop(path: str, shards: int, min_chars: int, with_text: bool):
-    def run(batches):
-        index = LineIndex(path, shards)
-        for b in batches:
-            ids, texts = lists(b, "doc_id", "text")
-            split, keys, owner = [], [], []
-            for row, t in enumerate(texts):
-                ls, ks = line_keys(t, min_chars)
-                split.append(ls)
-                if ids[row] is not None:
-                    keys.extend(ks)
-                    owner.extend([row] * len(ks))
-            gone: dict[int, set[int]] = {}
-            if keys:
-                found, keeper = index.probe(np.frombuffer(b"".join(k for _, k in keys), "<u8").reshape(-1, 2))
-                for j in np.flatnonzero(found):
-                    if keeper[j] != ids[owner[j]]:
-                        gone.setdefault(owner[j], set()).add(keys[j][0])
-            n, dropped, kept = [], [], []
-            for row, ls in enumerate(split):
-                g = gone.get(row, ())
-                n.append(len(ls))
-                dropped.append(len(g))
-                kept.append("\n".join(x for i, x in enumerate(ls) if i not in g) if g else texts[row] or "")
-            if with_text:
-                last = {"kept": (kept, pa.string())}
-            else:
-                last = {"kept_sha256": ([hashlib.sha256(k.encode("utf-8", "surrogatepass")).hexdigest() for k in kept], pa.string())}
-            cols = [b.column(i) for i in range(b.num_columns) if b.schema.names[i] != "text"]
-            names = [x for x in b.schema.names if x != "text"]
-            more = record(n_lines=(n, pa.int64()), n_dropped=(dropped, pa.int64()), **last)
-            yield pa.RecordBatch.from_arrays(cols + more.columns, names=names + more.schema.names)
+def _drop(path: str, with_text: bool):
+    def run(table: pa.Table) -> pa.Table:
+        block = table["block"][0].as_py()
+        replies = sorted(r for r in zip(table["shard"].to_pylist(), table["hot"].to_pylist(), table["keepers"].to_pylist()) if r[1] is not None)
+        hot = np.frombuffer(b"".join(r[1] for r in replies), np.uint8) > 0
+        keeper = np.zeros(len(hot), np.int64)
+        keeper[hot] = np.frombuffer(b"".join(r[2] for r in replies), "<i8")
+        docs, lines = blocks.read(path, f"{block}.rows"), blocks.read(path, f"{block}.lines")
+        ids, texts = docs["doc_id"].to_pylist(), docs["text"].to_pylist()
+        row, line, place = (lines[c].to_numpy() for c in ("row", "line", "place"))
+        gone: dict[int, set[int]] = {}
+        for k in np.flatnonzero(hot[place]).tolist():
+            if keeper[place[k]] != ids[row[k]]:
+                gone.setdefault(int(row[k]), set()).add(int(line[k]))
+        n = [(t or "").count("\n") + 1 for t in texts]
+        kept = [t or "" for t in texts]
+        for k, g in gone.items():
+            kept[k] = "\n".join(x for i, x in enumerate(texts[k].split("\n")) if i not in g)
+        if with_text:
+            last = {"kept": (kept, pa.string())}
+        else:
+            last = {"kept_sha256": ([hashlib.sha256(k.encode("utf-8", "surrogatepass")).hexdigest() for k in kept], pa.string())}
+        more = record(n_lines=(n, pa.int64()), n_dropped=([len(gone.get(k, ())) for k in range(len(ids))], pa.int64()), **last)
+        names = [c for c in docs.column_names if c != "text"]
+        return pa.table([*(docs[c] for c in names), *more.columns], names=[*names, *more.schema.names])
 
     return run
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, min_chars: int = 40, keep: tuple[str, ...] = (), digest: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 5, min_chars: int = 40, keep: tuple[str, ...] = (), digest: bool = False, block_words: int = blocks.BLOCK_WORDS) -> DataFrame:
     """One row per document: doc_id, the columns in ``keep``, n_lines, n_dropped and the kept text.
 
     With ``digest`` the kept text is replaced by its SHA-256 (``kept_sha256``).
     """
-    d = clean(docs, doc_id=id_col, text=text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    path, shards = build_index(d, min_docs, min_chars)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *[F.col(f"`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)])
     kinds = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = rows.mapInArrow(_drop(path, shards, min_chars, not digest), f"doc_id long{kinds}, n_lines long, n_dropped long, {'kept_sha256' if digest else 'kept'} string")
+    shards, parts = blocks.plan_sizes(blocks.input_bytes(rows, F.col("text")), block_words)
+    path = shared_path(docs.sparkSession, "lines")
+    sent = rows.mapInArrow(_first(path, shards, min_chars, block_words), SENT)
+    replies = sent.repartition(shards, "shard").groupBy("shard").applyInArrow(_probe(min_docs), REPLY).repartition(parts, "block")
+    out = replies.groupBy("block").applyInArrow(_drop(path, not digest), f"doc_id long{kinds}, n_lines long, n_dropped long, {'kept_sha256' if digest else 'kept'} string")
     return out.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})

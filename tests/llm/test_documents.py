@@ -88,6 +88,7 @@ def test_line_dedup(docs, rows, empty):
         want.append((i, len(ls), sum(drop), sha("\n".join(x for x, d in zip(ls, drop) if not d))))
     assert sum(w[2] for w in want) > 5
     assert bag(line_dedup.dedup_lines(docs, digest=True)) == sorted(want, key=repr)
+    assert bag(line_dedup.dedup_lines(docs, digest=True, block_words=30)) == sorted(want, key=repr)
     kept = line_dedup.dedup_lines(docs, keep=("lang", "shard"))
     assert kept.columns == ["doc_id", "lang", "shard", "n_lines", "n_dropped", "kept"]
     assert kept.count() == len(rows)
@@ -102,6 +103,18 @@ def test_minimal_perfect_hash():
     assert len(mph.lookup(mph.build(h[:0, 0], h[:0, 1]), h[:3, 0], h[:3, 1])) == 3
 
 
+def test_line_index():
+    r = np.random.default_rng(4)
+    h = r.integers(0, 1 << 63, (3000, 2)).astype(np.uint64)
+    pick = r.integers(0, 2500, 8000)
+    f = line_dedup.LineIndex(h[pick, 0], h[pick, 1])
+    f.add(f.find(h[pick, 0], h[pick, 1]), np.ones(8000, np.int64), pick)
+    at = f.find(h[:2500, 0], h[:2500, 1])
+    assert [int(f.count[a]) if a >= 0 else 0 for a in at] == np.bincount(pick, minlength=2500).tolist()
+    assert all(f.keeper[a] == k for k, a in enumerate(at) if a >= 0) and len(f.count) == len(set(pick.tolist()))
+    assert (f.find(h[2500:, 0], h[2500:, 1]) < 0).mean() > 0.99  # 32-bit fingerprints
+
+
 def brute_substrings(rows, width=13):
     least = {}
     for i, t, *_ in rows:
