@@ -9,7 +9,8 @@ reach ``WINDOW`` if that is above the threshold. Document
 frequencies of the templates' terms come from one pass over all documents; a term
 that no template has weighs as one that no document has. Lines without a rare
 template term can't reach the threshold (checked against the templates' norms)
-and aren't scored.
+and aren't scored. Versions of a licence are told apart by templates of their own
+and by words that must be there (``MUST``).
 
 A file whose text is mostly licence, or that is named like one, licenses its
 directory. Other files without a licence of their own inherit from the nearest
@@ -18,7 +19,7 @@ ancestors first, then files join their directory with the key salted.
 
 Defined cases: null or empty texts have no licence of their own and may inherit;
 a null path is a file of no directory; repeated rows each get a row; of equal
-cosines the first template by name wins; of several licence files in a directory
+cosines the longer template wins, then the first by name; of several licence files in a directory
 the largest cosine, then the first name.
 """
 
@@ -34,6 +35,19 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.common import lists, materialize, record
 
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
+_BSD2 = (
+    _BSD + ": 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+    " 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD3 = " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def _gnu(what: str, name: str, version: str) -> str:
+    return f"{what} is free software; you can redistribute it and/or modify it under the terms of the GNU {name} as published by the Free Software Foundation; either version {version} of the License, or (at your option) any later version."
+
+
+# versions and variants have templates of their own, which score higher than their relatives' where the text tells them apart
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "MIT": (
         "Released under the MIT License.",
@@ -52,13 +66,45 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version.",
+        _gnu("This program", "General Public License", "3"),
         "SPDX-License-Identifier: GPL-3.0-only",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
-    "BSD-3-Clause": (
-        "Released under the BSD 3-Clause License.",
-        "SPDX-License-Identifier: BSD-3-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        _gnu("This program", "General Public License", "2"),
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ),
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+        _gnu("This library", "Lesser General Public License", "2.1"),
+        "SPDX-License-Identifier: LGPL-2.1-only",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        _gnu("This library", "Lesser General Public License", "3"),
+        "SPDX-License-Identifier: LGPL-3.0-only",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        _gnu("This program", "Affero General Public License", "3"),
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
+    "BSD-2-Clause": ("Released under the BSD 2-Clause License.", "SPDX-License-Identifier: BSD-2-Clause", _BSD2),
+    "BSD-3-Clause": ("Released under the BSD 3-Clause License.", "SPDX-License-Identifier: BSD-3-Clause", _BSD, _BSD2 + _BSD3),
+    "ISC": (
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ),
+    "Unlicense": (
+        "SPDX-License-Identifier: Unlicense",
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
@@ -70,6 +116,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.", "SPDX-License-Identifier: CC0-1.0"),
     "Proprietary": ("All rights reserved.", "Copyright. All rights reserved. Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
 }
+# without one word of each group what was compared isn't that licence, however similar its relatives' texts are
+MUST: dict[str, tuple[frozenset[bytes], ...]] = {
+    "GPL-2.0": (frozenset([b"2"]),),
+    "GPL-3.0": (frozenset([b"3"]),),
+    "LGPL-2.1": (frozenset([b"lesser", b"lgpl"]), frozenset([b"2"])),
+    "LGPL-3.0": (frozenset([b"lesser", b"lgpl"]), frozenset([b"3"])),
+    "AGPL-3.0": (frozenset([b"affero", b"agpl"]),),
+}
 LICENSE_NAME = r"(?i)^(un)?licen[cs]e|^copying|^notice"
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c == 10 or 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 SALTS = 16
@@ -84,6 +138,7 @@ def flat(text: str | None) -> bytes:
 class Templates:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
         self.rows = sorted((name, tuple(flat(t).split())) for name, ts in templates.items() for t in ts)
+        self.must = [MUST.get(name, ()) for name, _ in self.rows]
         self.vocab = {w: i for i, w in enumerate(sorted({w for _, ws in self.rows for w in ws}))}
 
     def weigh(self, df: np.ndarray, n: int, threshold: float) -> None:
@@ -108,6 +163,10 @@ class Templates:
             for w, x in v.items():
                 self.by_word.setdefault(w, []).append((k, x))
 
+    def order(self, cosine: float, k: int) -> tuple[float, int, int]:
+        """What is better: the larger cosine, then the longer template, then the first by name."""
+        return round(cosine, 12), len(self.rows[k][1]), -k
+
     def best(self, ws: list[bytes]) -> tuple[float, int]:
         """The largest cosine of the words with a template, and which."""
         tf: dict[bytes, int] = {}
@@ -121,9 +180,10 @@ class Templates:
             norm += x * x
             for k, y in self.by_word.get(w, ()):
                 dot[k] = dot.get(k, 0.0) + x * y
+        dot = {k: x for k, x in dot.items() if not any(g.isdisjoint(tf) for g in self.must[k])}
         if not dot:
             return 0.0, -1
-        k = min(dot, key=lambda k: (-round(dot[k], 12), k))
+        k = max(dot, key=lambda k: self.order(dot[k], k))
         return dot[k] / math.sqrt(norm), k
 
     def windows(self, ws: list[bytes], cues: list[int], bar: float) -> list[tuple[float, int, int, int]]:
@@ -149,7 +209,7 @@ class Templates:
                         dot += x * v[w]
                         if dot / math.sqrt(norm) > best[0]:
                             best = (dot / math.sqrt(norm), j + 1)
-                if best[0] >= bar:
+                if best[0] >= bar and not any(g.isdisjoint(ws[i : best[1]]) for g in self.must[k]):
                     fits.append((best[0], k, i, best[1]))
             taken: list[tuple[float, int, int, int]] = []
             for f in sorted(fits, key=lambda f: (-round(f[0], 12), f[2])):
@@ -185,12 +245,12 @@ class Templates:
                     if c >= 1 - 1e-9:
                         exact[i:j] = b"\1" * (j - i)
                 for c, k in found:
-                    if k >= 0 and (round(c, 12), -k) > (round(top[0], 12), -top[1]):
+                    if k >= 0 and self.order(c, k) > self.order(*top):
                         top = (c, k)
                 run = []
         for c, k, i, j in self.windows(ws, [i for i, w in enumerate(ws) if w in self.cues and not exact[i]], max(WINDOW, threshold)):
             held[i:j] = b"\1" * (j - i)
-            if (round(c, 12), -k) > (round(top[0], 12), -top[1]):
+            if self.order(c, k) > self.order(*top):
                 top = (c, k)
         if top[0] < threshold:
             return None, top[0], 0, len(ws)

@@ -8,7 +8,8 @@ logistic layer scores the weighted passage representation. Only document labels
 train it.
 
 The fit uses at most ``max_train`` labelled documents (those of the least id
-hash); scoring reads every whole text, in batches, with the small weights only.
+hash) and ``FIT_PASSAGES`` passages of each; scoring reads every whole text, in
+batches, with the small weights only.
 
 Defined cases: a null or empty text is one passage without features and gets a
 score like any other; null labels aren't learned from; labels of one class alone
@@ -31,6 +32,8 @@ PASSAGE = 512
 CLASSES = 16
 GRAM_BINS = 1024
 FEATURES = CLASSES * CLASSES + 4
+PIECE = PASSAGE << 12
+FIT_PASSAGES = 256  # of a document, in the fit
 BLOCK_BYTES = 1 << 18  # small enough for the arrays of a block to stay in the cache
 
 
@@ -47,8 +50,19 @@ CLASS = _classes()
 
 
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(features of every passage, number of passages of each text)."""
-    bs = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    """(features of every passage, number of passages of each text); long texts go piece by piece."""
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    if max(map(len, raw), default=0) <= PIECE:
+        return _passages(raw)
+    xs, ns = [], []
+    for b in raw:
+        parts = [_passages([b[k : k + PIECE]]) for k in range(0, len(b) or 1, PIECE)]
+        xs += [x for x, _ in parts]
+        ns.append(sum(int(n[0]) for _, n in parts))
+    return np.concatenate(xs), np.array(ns, np.int64)
+
+
+def _passages(bs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     size = np.array([len(b) for b in bs], np.int64)
     n = np.maximum(1, -(-size // PASSAGE))
     total = int(n.sum())
@@ -151,6 +165,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, ys = lists(b, "doc_id", "text", "y")
         for i, t, y in zip(ids, texts, ys):
             x, n = passages([t])
+            if len(x) > FIT_PASSAGES:  # evenly spread ones; scores always see all
+                x = x[np.linspace(0, len(x) - 1, FIT_PASSAGES).astype(int)]
+                n = np.array([FIT_PASSAGES])
             yield record(doc_id=([i], pa.int64()), y=([y], pa.int32()), n=(n, pa.int64()), x=([x.astype(np.float16).tobytes()], pa.binary()))
 
 

@@ -500,6 +500,29 @@ def test_licenses_inside_a_line():
         assert t.scan(f"{fill} {prose} {fill}", 0.6)[0] is None
 
 
+@pytest.mark.parametrize(("text", "name"), [
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.", "GPL-2.0"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "GPL-3.0"),
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.", "LGPL-2.1"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "AGPL-3.0"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "GPL-2.0"), ("SPDX-License-Identifier: LGPL-3.0-or-later", "LGPL-3.0"), ("SPDX-License-Identifier: AGPL-3.0-only", "AGPL-3.0"), ("SPDX-License-Identifier: BSD-2-Clause", "BSD-2-Clause"), ("SPDX-License-Identifier: ISC", "ISC"),
+    (licenses.TEMPLATES["BSD-2-Clause"][2], "BSD-2-Clause"), (licenses.TEMPLATES["BSD-3-Clause"][3], "BSD-3-Clause"),
+    ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "ISC"),
+    ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use", "MIT"),
+])
+def test_licenses_are_told_apart(text, name):
+    t = licenses.Templates(licenses.TEMPLATES)
+    df = np.full(len(t.vocab), 40)
+    for w in (b"all", b"the", b"of", b"and", b"under", b"to", b"this", b"is", b"or", b"in", b"a", b"any", b"for", b"be", b"by", b"it", b"as", b"with"):
+        df[t.vocab[w]] = 9000
+    t.weigh(df, 10000, 0.6)
+    fill = " ".join(f"word{k}" for k in range(40))
+    words = text.split()
+    for layout in (text, "\n".join(" * " + " ".join(words[k : k + 8]) for k in range(0, len(words), 8)), f"{fill}\n{text}\n{fill}"):
+        assert t.scan(layout, 0.6)[0] == name, layout
+
+
 def test_license_cosine_matches_brute_force():
     import math
 
@@ -509,7 +532,9 @@ def test_license_cosine_matches_brute_force():
     for line in ("Licensed under the MIT License, dear reader", "Released under the Apache 2.0 License", "nothing here", "this work is licensed"):
         ws = licenses.flat(line).split()
         best = 0.0
-        for _, tw in t.rows:
+        for k, (_, tw) in enumerate(t.rows):
+            if any(g.isdisjoint(ws) for g in t.must[k]):
+                continue
             idf = lambda w: math.log(11 / (1 + df[t.vocab[w]])) + 1 if w in t.vocab else math.log(11) + 1
             u, v = ({w: ws_.count(w) * idf(w) for w in set(ws_)} for ws_ in (ws, list(tw)))
             best = max(best, sum(x * v.get(w, 0) for w, x in u.items()) / math.sqrt(sum(x * x for x in u.values()) * sum(x * x for x in v.values())))
