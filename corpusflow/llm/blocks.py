@@ -133,9 +133,20 @@ def _tally(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array(block, pa.int64()), "shard": pa.array(rows["shard"].to_pylist() + [-1] * named.num_rows, pa.int32()), "ranks": pa.array(replies + [None] * named.num_rows, pa.binary())})
 
 
-def tally(messages: DataFrame, shards: int, partitions: int) -> DataFrame:
-    """The replies, by block; group them by ``block``."""
-    return messages.repartition(shards, "shard").groupBy("shard").applyInArrow(_tally, REPLY).repartition(partitions, "block")
+def by_shard(df: DataFrame, shards: int, name: str = "shard"):
+    """Grouped by shard, each shard in a partition of its own."""
+    return df.repartitionById(shards, F.col(name)).groupBy(name)
+
+
+def by_block(df: DataFrame, partitions: int):
+    """Grouped by block, the blocks of a partition spread over others."""
+    slot = F.pmod(F.shiftright("block", 20) * 31 + F.col("block").bitwiseAND((1 << 20) - 1), F.lit(partitions)).cast("int")
+    return df.withColumn("slot", slot).repartitionById(partitions, F.col("slot")).groupBy("slot", "block")
+
+
+def tally(messages: DataFrame, shards: int, partitions: int):
+    """The replies, grouped by block."""
+    return by_block(by_shard(messages, shards).applyInArrow(_tally, REPLY), partitions)
 
 
 def places(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
