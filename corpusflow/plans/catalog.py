@@ -99,6 +99,18 @@ def extract_tei(spark, sf_dir):
     return step("extract", "tei").transform(df).select("id", F.regexp_replace(F.regexp_replace("text", "^\n+|\n+$", ""), "\n+", " | ").alias("text"))
 
 
+def _as_tei(text):
+    """A text as the one paragraph of a TEI document, without the characters that XML doesn't allow."""
+    escaped = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return F.concat(F.lit("<TEI><text><body><p>"), F.regexp_replace(escaped, r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", ""), F.lit("</p></body></text></TEI>"))
+
+
+@query("extract_tei_documents", "SELECT doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text FROM documents")
+def extract_tei_documents(spark, sf_dir):
+    df = step("extract", "tei").transform(docs(spark, sf_dir).withColumn("text", _as_tei(F.col("text"))))
+    return df.select("doc_id", F.regexp_replace("text", "^[ \t\n\r]+|[ \t\n\r]+$", "").alias("text"))
+
+
 # sources and sinks
 
 
@@ -221,7 +233,8 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS word_count, round(coalesce(list_sum(lis
   round(len(list_filter(l, lambda x : regexp_matches(x, '^\\s*[•-]'))) / len(l), 6) AS bullet_line_ratio,
   round(len(list_filter(l, lambda x : regexp_matches(x, '(\\.\\.\\.|…)\\s*$'))) / len(l), 6) AS ellipsis_line_ratio,
   CAST(len(list_intersect(list_distinct(w), [{quoted(STOP_WORDS[language])}])) AS BIGINT) AS stop_word_count,
-  round(len(list_filter(w, lambda x : regexp_matches(x, '\\p{{L}}'))) / len(w), 6) AS alpha_word_ratio FROM r WHERE text <> ''"""
+  round(len(list_filter(w, lambda x : regexp_matches(x, '\\p{{L}}'))) / len(w), 6) AS alpha_word_ratio FROM r WHERE text <> ''
+UNION ALL SELECT doc_id, 0, 0, 0, 0, 0, 0, 0, 0 FROM documents WHERE coalesce(text, '') = ''"""
 
 
 def _gopher(language: str) -> Query:
@@ -255,7 +268,8 @@ t AS (SELECT doc_id, n, arg_max(length(g) * c, (c, -p)) AS chars FROM c GROUP BY
 x AS (SELECT doc_id, max(chars) FILTER (n = 2) AS t2, max(chars) FILTER (n = 3) AS t3, max(chars) FILTER (n = 4) AS t4 FROM t GROUP BY doc_id)
 SELECT doc_id, round((len(ps) - len(list_distinct(ps))) / len(ps), 6) AS dup_para_frac, round((list_sum(list_transform(ps, lambda x : length(x))) - coalesce(list_sum(list_transform(list_distinct(ps), lambda x : length(x))), 0)) / length(text), 6) AS dup_para_char_frac,
   round((len(ls) - len(list_distinct(ls))) / len(ls), 6) AS dup_line_frac, round((list_sum(list_transform(ls, lambda x : length(x))) - coalesce(list_sum(list_transform(list_distinct(ls), lambda x : length(x))), 0)) / length(text), 6) AS dup_line_char_frac,
-  round(coalesce(t2, 0) / length(text), 6) AS top_2_gram_char_frac, round(coalesce(t3, 0) / length(text), 6) AS top_3_gram_char_frac, round(coalesce(t4, 0) / length(text), 6) AS top_4_gram_char_frac FROM d LEFT JOIN x USING (doc_id)"""
+  round(coalesce(t2, 0) / length(text), 6) AS top_2_gram_char_frac, round(coalesce(t3, 0) / length(text), 6) AS top_3_gram_char_frac, round(coalesce(t4, 0) / length(text), 6) AS top_4_gram_char_frac FROM d LEFT JOIN x USING (doc_id)
+UNION ALL SELECT doc_id, 0, 0, 0, 0, 0, 0, 0 FROM documents WHERE coalesce(text, '') = ''"""
 
 
 @query("tag_repetition_top", _TOP_SQL)
@@ -275,6 +289,8 @@ def _then(tagger: str, kind: str, **params) -> Query:
     return run
 
 
+query("filter_gopher_repetition_top", f"""SELECT doc_id, lang FROM ({_TOP_SQL}) JOIN documents USING (doc_id) WHERE NOT (dup_line_frac > 0.25 OR dup_para_frac > 0.3 OR dup_line_char_frac > 0.15 OR dup_para_char_frac > 0.2
+  OR top_2_gram_char_frac > 0.07 OR top_3_gram_char_frac > 0.1 OR top_4_gram_char_frac > 0.13)""")(_then("gopher_repetition", "gopher_repetition", semantics="corrected", dup_n_gram_thresholds=()))
 query("filter_gopher_repetition_compat")(_then("gopher_repetition", "gopher_repetition"))
 query("filter_gopher_repetition_corrected")(_then("gopher_repetition", "gopher_repetition", semantics="corrected"))
 query("filter_ocr_quality_compat")(_then("ocr_quality", "ocr_quality"))
@@ -290,19 +306,47 @@ _OCR_SQL_FIELDS = ("word_fragment_ratio", "special_char_density", "numeric_conte
 
 
 @query("tag_ocr_words", rf"""
-WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^\p{{Z}}\t\n\x0b\f\r\x1c-\x1f]+') AS w FROM documents WHERE length(trim(text, ' ' || chr(10))) > 0),
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^\p{{Z}}\t\n\x0b\f\r\x1c-\x1f]+') AS w FROM documents WHERE regexp_matches(text, '[^\p{{Z}}\t\n\x0b\f\r\x1c-\x1f]')),
 k AS (SELECT *, list_filter(list_transform(w, lambda x : regexp_replace(x, '[^\p{{L}}\p{{N}}_]', '', 'g')), lambda x : x <> '') AS c FROM d),
 n AS (SELECT *, list_transform(c, lambda x : CAST(length(x) AS DOUBLE)) AS z FROM k)
 SELECT doc_id, round(least(len(list_filter(c, lambda x : regexp_full_match(x, '\p{{L}}') OR (regexp_full_match(x, '\p{{L}}\p{{L}}') AND NOT list_contains([{quoted(SHORT_WORDS)}], lower(x))))) / len(w), 1), 6) AS word_fragment_ratio,
   round((length(text) - length(regexp_replace(text, '[''\x{{a1}}\x{{a6}}-\x{{ac}}\x{{ae}}-\x{{bf}}\x{{2000}}-\x{{206f}}\x{{20ac}}\x{{2122}}\x{{2700}}-\x{{27bf}}]', '', 'g'))) / length(text), 6) AS special_char_density,
   round(len(list_filter(w, lambda x : (regexp_matches(x, '[a-zA-Z]\d|d[a-zA-Z]') AND NOT regexp_full_match(x, '(?i)\d+(?:st|nd|rd|th)')) OR regexp_matches(x, '\d[a-zA-Z]+\d'))) / len(w), 6) AS numeric_context_errors,
   round(list_avg(z), 6) AS word_length_avg, round(CASE WHEN len(z) <= 1 THEN 0 ELSE list_stddev_pop(z) END, 6) AS word_length_std,
-  round(len(list_filter(c, lambda x : length(x) <= 1)) / greatest(len(c), 1), 6) AS ratio_very_short_words, round(len(list_filter(c, lambda x : length(x) >= 15)) / greatest(len(c), 1), 6) AS ratio_very_long_words FROM n""")
+  round(len(list_filter(c, lambda x : length(x) <= 1)) / greatest(len(c), 1), 6) AS ratio_very_short_words, round(len(list_filter(c, lambda x : length(x) >= 15)) / greatest(len(c), 1), 6) AS ratio_very_long_words FROM n
+UNION ALL SELECT doc_id, 0, 0, 0, 0, 0, 0, 0 FROM documents WHERE NOT coalesce(regexp_matches(text, '[^\p{{Z}}\t\n\x0b\f\r\x1c-\x1f]'), false)""")
 def tag_ocr_words(spark, sf_dir):
     df = step("tag", "ocr_quality").transform(docs(spark, sf_dir))
     return flat(df, "metadata.ocr_quality", "doc_id").select("doc_id", *_OCR_SQL_FIELDS)
 
 
+# word runs stand for what look-around sees: a run of one letter becomes chr(1), a longer one chr(2)
+_OCR_LINES_SQL = rf"""
+WITH d AS (SELECT doc_id, text, regexp_extract_all(text, '[^\p{{Z}}\t\n\x0b\f\r\x1c-\x1f]+') AS w, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+') AS runs, regexp_split_to_array(text, '\r\n|[\n\r\x0b\f\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS parts,
+  regexp_replace(regexp_replace(text, '[\p{{L}}\p{{N}}_]{{2,}}', chr(2), 'g'), '[a-zA-Z]', chr(1), 'g') AS marks FROM documents WHERE regexp_matches(text, '[^\p{{Z}}\t\n\x0b\f\r\x1c-\x1f]')),
+k AS (SELECT *, len(list_filter(w, lambda x : regexp_full_match(x, '\p{{L}}+'))) AS alpha, list_transform(CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END, lambda x : regexp_replace(x, '^[\p{{Z}}\t\n\x0b\f\r\x1c-\x1f\x{{85}}]+|[\p{{Z}}\t\n\x0b\f\r\x1c-\x1f\x{{85}}]+$', '', 'g')) AS ls FROM d)
+SELECT doc_id, round(least((len(regexp_extract_all(text, '[a-z][A-Z]|[a-zA-Z]\p{{Nd}}|\p{{Nd}}[a-zA-Z]')) + len(regexp_extract_all(text, ' {{3,}}')) + (length(marks) - length(replace(marks, chr(1) || ' ' || chr(1) || ' ' || chr(1), ''))) / 5
+    + len(list_filter(runs, lambda x : length(x) >= 25))) / len(w), 1), 6) AS spacing_anomaly_ratio,
+  round(CASE WHEN alpha = 0 THEN 0 ELSE least((len(list_filter(runs, lambda x : regexp_full_match(x, '[a-z]+[A-Z][a-z]*'))) + len(list_filter(runs, lambda x : regexp_full_match(x, '[a-zA-Z]*[a-z][A-Z][a-zA-Z]*')))) / alpha, 1) END, 6) AS case_anomaly_ratio,
+  round(len(list_filter(ls, lambda x : x <> '' AND (length(x) <= 2 OR regexp_matches(x, '^[^\p{{L}}\p{{N}}_\p{{Z}}\s]+$|^\p{{Nd}}+$|(?i:^[IVX]+$)|(?i:^Page[\p{{Z}}\t\n\x0b\f\r\x1c-\x1f]+\p{{Nd}}+)')))) / len(ls), 6) AS line_artifact_ratio FROM k
+UNION ALL SELECT doc_id, 0, 0, 0 FROM documents WHERE NOT coalesce(regexp_matches(text, '[^\p{{Z}}\t\n\x0b\f\r\x1c-\x1f]'), false)"""
+
+
+@query("tag_ocr_lines", _OCR_LINES_SQL)
+def tag_ocr_lines(spark, sf_dir):
+    df = step("tag", "ocr_quality").transform(docs(spark, sf_dir))
+    return flat(df, "metadata.ocr_quality", "doc_id").select("doc_id", "spacing_anomaly_ratio", "case_anomaly_ratio", "line_artifact_ratio")
+
+
+# without the limit on repeated characters, whose pattern refers back to itself
+_BAD = "spacing_anomaly_ratio > 0.15; case_anomaly_ratio > 0.1; word_fragment_ratio > 0.2; line_artifact_ratio > 0.25; special_char_density > 0.03; numeric_context_errors > 0.08; word_length_avg > 9; coalesce(word_length_avg, 0) < 5; word_length_std > 5; {std}; ratio_very_short_words > 0.1; ratio_very_long_words > 0.1"
+for _m, _std, _test in (("compat", "word_length_std > 1", "bad > 0"), ("corrected", "word_length_std < 1", "NOT bad * 2 >= 13")):
+    _sum = " + ".join(f"coalesce(CAST({x} AS INT), 0)" for x in _BAD.format(std=_std).split("; "))
+    _words = ORACLES["tag_ocr_words"]
+    query(f"filter_ocr_quality_{_m}_unrepeated", f"SELECT doc_id, lang FROM (SELECT *, {_sum} AS bad FROM ({_words}) JOIN ({_OCR_LINES_SQL}) USING (doc_id)) JOIN documents USING (doc_id) WHERE {_test}")(
+        _then("ocr_quality", "ocr_quality", max_repeated_char_ratio=1.0, **({} if _m == "compat" else {"semantics": "corrected", "filter_mode": "maj"})))
+
+
 @query("tag_ocroscope")
 def tag_ocroscope(spark, sf_dir):
     return step("tag", "ocroscope").transform(docs(spark, sf_dir)).select("doc_id", F.round("ocr_quality", 6).alias("ocr_rate"))
@@ -352,6 +396,15 @@ def tag_token_count(spark, sf_dir):
     return df.select("doc_id", "metadata.token_count")
 
 
+# a run of white space that ends in no blank counts twice, which takes a look-ahead in the pattern itself
+_PRETOKEN_SQL = r"""SELECT doc_id, len(regexp_extract_all(text, '{Q}(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\x0b\p{L}\p{N}]+|[\s\x0b]+')) + len(regexp_extract_all(text, '[\s\x0b][\t\n\x0b\f\r][^\s\x0b]')) AS token_count FROM documents"""
+
+
+@query("tag_pretoken_count", _PRETOKEN_SQL.replace("{Q}", "''"))
+def tag_pretoken_count(spark, sf_dir):
+    return step("tag", "token_count").transform(docs(spark, sf_dir)).select("doc_id", "metadata.token_count")
+
+
 @query("tag_perplexity")
 def tag_perplexity(spark, sf_dir):
     return step("tag", "perplexity").transform(docs(spark, sf_dir)).select("doc_id", "perplexity")
@@ -447,10 +500,7 @@ def default_steps(language: str = "en") -> list:
 @query("flagship")
 def flagship(spark, sf_dir):
     """The default configuration over documents, each wrapped as a TEI text, since its extractor reads TEI."""
-    escaped = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    clean = F.regexp_replace(escaped, r"[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]", "")  # not allowed in XML
-    tei = F.concat(F.lit("<TEI><text><body><p>"), clean, F.lit("</p></body></text></TEI>"))
-    df = apply_steps(docs(spark, sf_dir).withColumn("text", tei), default_steps())
+    df = apply_steps(docs(spark, sf_dir).withColumn("text", _as_tei(F.col("text"))), default_steps())
     return df.select("id", "source", "text", "num_tokens", F.col("metadata.pii").alias("pii"), "perplexity", "ocr_quality")
 
 

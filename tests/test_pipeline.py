@@ -160,9 +160,6 @@ def test_entry_and_queries(spark):
     assert set(catalog.QUERIES) <= set(names) and set(__spark_entry__.oracle_sql()) <= set(names)
 
 
-SLOW = {"tag_repetition_top"}
-
-
 @pytest.mark.parametrize("name", ["tag_gopher_quality_en", "tag_gopher_quality_de", "tag_repetition_top", "tag_ocr_words", "filter_gopher_quality_compat", "filter_gopher_quality_corrected"])
 def test_queries_keep_rows_without_text(spark, monkeypatch, name):
     seen = []
@@ -185,7 +182,7 @@ def test_ftfy_over_documents(spark, monkeypatch):
     assert got == {0: "über & it " * 20000, 1: None, 2: ""}
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
