@@ -16,6 +16,9 @@ files does).
 
 from __future__ import annotations
 
+import ctypes
+import functools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -27,11 +30,32 @@ from corpusflow.llm.common import U64, filesystem
 
 CELL_BITS = 24
 SHARD_TOKENS = 3_000_000  # of the 16.8 million cells of a shard
-BLOCK_WORDS = 750_000
+BLOCK_WORDS = 500_000
 BLOCK_DOCS = 60_000  # below 2^16: a document's number in its block has 16 bits
 BYTES_A_WORD = 6
 MESSAGE = "shard int, block long, low binary, high binary, times binary"
 REPLY = "block long, shard int, ranks binary"
+_LIBC = ctypes.CDLL(None)
+
+
+def trim() -> None:
+    """Give freed memory back to the machine: workers live on between tasks, more of them than run at a time."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
+def lean(run):
+    """A function of a group that leaves no freed memory with its worker."""
+
+    @functools.wraps(run)
+    def call(table: pa.Table) -> pa.Table:
+        try:
+            return run(table)
+        finally:
+            trim()
+
+    return call
 
 
 def input_bytes(df: DataFrame, text: Column) -> int:
@@ -60,8 +84,11 @@ def cut(batches, names: list[str], block_words: int, block_docs: int = BLOCK_DOC
             if size >= block_words or len(held) >= block_docs:
                 yield first << 20 | k, held
                 held, size, k = [], 0, k + 1
+                trim()
     if held:
         yield first << 20 | k, held
+    held = []
+    trim()
 
 
 def cut_tables(batches, text: str, block_words: int, block_docs: int = BLOCK_DOCS):
@@ -78,8 +105,11 @@ def cut_tables(batches, text: str, block_words: int, block_docs: int = BLOCK_DOC
             if size >= block_words or docs >= block_docs:
                 yield first << 20 | k, pa.Table.from_batches(held)
                 held, size, docs, k = [], 0, 0, k + 1
+                trim()
     if held:
         yield first << 20 | k, pa.Table.from_batches(held)
+    held = []
+    trim()
 
 
 def write(path: str, name: str, table: pa.Table, compression: str | None = None) -> None:
@@ -146,7 +176,7 @@ def by_block(df: DataFrame, partitions: int):
 
 def tally(messages: DataFrame, shards: int, partitions: int):
     """The replies, grouped by block."""
-    return by_block(by_shard(messages, shards).applyInArrow(_tally, REPLY), partitions)
+    return by_block(by_shard(messages, shards).applyInArrow(lean(_tally), REPLY), partitions)
 
 
 def places(cell: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -315,7 +315,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return blocks.by_block(df.withColumn("block", block), parts)
 
     replies = blocks.tally(d.mapInArrow(_first(path, n, shards, block_words), blocks.MESSAGE), shards, parts)
-    rows = materialize(replies.applyInArrow(_held(path, shards, threshold), _ROWS), "documents")
+    rows = materialize(replies.applyInArrow(blocks.lean(_held(path, shards, threshold)), _ROWS), "documents")
 
     # classes of equal sets; one document stands for each class that may have a partner outside
     classes = materialize(rows.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(
@@ -323,8 +323,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reps = classes.filter("maybe").select("cid", "n", "size")
 
     # fields of sets that prefixes chain
-    entries = by_block(reps.select("cid")).applyInArrow(_prefixes(path, threshold, shards), "shard int, entries binary")
-    chains = blocks.by_shard(entries, shards).applyInArrow(_chain(threshold), "a long, b long")
+    entries = by_block(reps.select("cid")).applyInArrow(blocks.lean(_prefixes(path, threshold, shards)), "shard int, entries binary")
+    chains = blocks.by_shard(entries, shards).applyInArrow(blocks.lean(_chain(threshold)), "a long, b long")
     roots = components(chains)
     field = materialize(roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct()), "fields")
 
@@ -344,8 +344,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         units.filter("band <> band2 OR part <> part2").select("unit", "field", F.col("band2").alias("band"), F.col("part2").alias("part"), F.lit(1).alias("side")))
     sends = materialize(sets.join(ends, ["field", "band", "part"]).select("unit", "side", "cid", "n", "size"), "sends")
     groups = max(8, -(-(sends.agg(F.sum("n")).first()[0] or 0) * 8 // UNIT_BYTES))
-    sent = by_block(sends.withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups)).cast("int")).select("g", "unit", "side", "cid", "size")).applyInArrow(_ship(path), _SENT)
-    found = materialize(blocks.by_shard(sent, groups, "g").applyInArrow(_compare(threshold), "a long, b long, others long"), "links")
+    sent = by_block(sends.withColumn("g", F.pmod(F.xxhash64("unit"), F.lit(groups)).cast("int")).select("g", "unit", "side", "cid", "size")).applyInArrow(blocks.lean(_ship(path)), _SENT)
+    found = materialize(blocks.by_shard(sent, groups, "g").applyInArrow(blocks.lean(_compare(threshold)), "a long, b long, others long"), "links")
 
     others = found.filter("b < 0").groupBy(F.col("a").alias("cid")).agg(F.sum("others").alias("others"))
     roots = components(found.filter("b >= 0"))

@@ -176,6 +176,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shards, parts = blocks.plan_sizes(blocks.input_bytes(rows, F.col("text")), block_words)
     path = shared_path(docs.sparkSession, "lines")
     sent = rows.mapInArrow(_first(path, shards, min_chars, block_words), SENT)
-    replies = blocks.by_shard(sent, shards).applyInArrow(_probe(min_docs), REPLY)
-    out = blocks.by_block(replies, parts).applyInArrow(_drop(path, not digest), f"doc_id long{kinds}, n_lines long, n_dropped long, {'kept_sha256' if digest else 'kept'} string")
+    replies = blocks.by_shard(sent, shards).applyInArrow(blocks.lean(_probe(min_docs)), REPLY)
+    out = blocks.by_block(replies, parts).applyInArrow(blocks.lean(_drop(path, not digest)), f"doc_id long{kinds}, n_lines long, n_dropped long, {'kept_sha256' if digest else 'kept'} string")
     return out.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})

@@ -219,10 +219,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     path, levels = shared_path(docs.sparkSession, "windows"), doubling(width)
     sent = d.mapInArrow(_first(path, levels, shards, block_words), blocks.MESSAGE)
     for k in range(1, len(levels) - 1):
-        sent = blocks.tally(sent, shards, parts).applyInArrow(_next(path, levels, k, shards), blocks.MESSAGE)
-    last = blocks.tally(sent, shards, parts).applyInArrow(_last(path, levels, shards), SENT)
-    replies = blocks.by_shard(last, shards).applyInArrow(_least, blocks.REPLY)
-    out = blocks.by_block(replies, parts).applyInArrow(_cover(path, width, digest), OUT)
+        sent = blocks.tally(sent, shards, parts).applyInArrow(blocks.lean(_next(path, levels, k, shards)), blocks.MESSAGE)
+    last = blocks.tally(sent, shards, parts).applyInArrow(blocks.lean(_last(path, levels, shards)), SENT)
+    replies = blocks.by_shard(last, shards).applyInArrow(blocks.lean(_least), blocks.REPLY)
+    out = blocks.by_block(replies, parts).applyInArrow(blocks.lean(_cover(path, width, digest)), OUT)
     return out.withColumnRenamed("kept", "kept_sha256") if digest else out
 
 
