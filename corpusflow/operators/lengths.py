@@ -8,11 +8,14 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pydantic import Field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.arrow import text_udf
 from corpusflow.functions.text import count_plain, split_plain, strip
 from corpusflow.plans.base import MapFn
 from corpusflow.plans.registry import components
@@ -99,8 +102,10 @@ class NGrams(MapFn):
     def column(self, df: DataFrame) -> Column:
         n, k = self.ngram_size, self.top_k
 
-        @F.pandas_udf(NGRAMS)
-        def count(s: pd.Series) -> pd.Series:
-            return s.map(lambda t: [{"ngram": g, "count": c} for g, c in ngram_counts(t, n, k)])
+        def count(texts: list[str | None]) -> pa.Array:
+            found = [ngram_counts(t, n, k) for t in texts]
+            ends = np.cumsum([0, *map(len, found)])
+            grams = pa.StructArray.from_arrays([pa.array([g for f in found for g, _ in f], pa.string()), pa.array([c for f in found for _, c in f], pa.int64())], names=["ngram", "count"])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), grams)
 
-        return count(self.text(df))
+        return text_udf(NGRAMS, lambda: count)(self.text(df))
