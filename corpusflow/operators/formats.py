@@ -7,11 +7,12 @@ import re
 import unicodedata
 from typing import Literal
 
-import pandas as pd
+import pyarrow as pa
 from pydantic import Field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.arrow import text_udf
 from corpusflow.functions.text import SPACE, WORD
 from corpusflow.plans.base import MapFn
 from corpusflow.plans.registry import components
@@ -100,12 +101,11 @@ class UnicodeRepair(MapFn):
         t = self.text(df)
         encoding, entities, form = self.fix_encoding, self.fix_entities, self.normalization
 
-        @F.pandas_udf("string")
-        def fixed(s: pd.Series) -> pd.Series:
-            return s.map(lambda x: repair(x, encoding, entities, form) if x else x)
+        def fixed(texts: list[str | None]) -> pa.Array:
+            return pa.array([repair(x, encoding, entities, form) if x else x for x in texts], pa.string())
 
         if encoding or entities or form:
-            t = fixed(t)
+            t = text_udf("string", lambda: fixed)(t)
         if self.remove_terminal_escapes:
             t = F.regexp_replace(t, "\x1b\\[[0-9;]*[a-zA-Z]", "")
         if self.fix_latin_ligatures:

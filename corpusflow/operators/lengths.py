@@ -6,10 +6,9 @@ import os
 import re
 import string
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pydantic import Field
 from pyspark.sql import Column, DataFrame
@@ -64,19 +63,19 @@ class TokenCount(MapFn):
         if not os.path.exists(path):
             raise ValueError(f"no tokenizer file {path!r}")
 
-        @F.pandas_udf("long")
-        def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def load() -> Callable[[list[str | None]], pa.Array]:
             from tokenizers import Tokenizer
 
             t = Tokenizer.from_file(path)
             t.encode_special_tokens = True
-            for s in batches:
-                there = s.notna()
-                n = pd.Series(pd.NA, index=s.index, dtype="Int64")
-                n.loc[there] = pd.array([len(e.ids) for e in t.encode_batch_fast(s[there].tolist(), add_special_tokens=special)], dtype="Int64")
-                yield n
 
-        return count(self.text(df))
+            def count(texts: list[str | None]) -> pa.Array:
+                n = iter([len(e.ids) for e in t.encode_batch_fast([x for x in texts if x is not None], add_special_tokens=special)])
+                return pa.array([None if x is None else next(n) for x in texts], pa.int64())
+
+            return count
+
+        return text_udf("long", load)(self.text(df))
 
 
 NGRAMS = "array<struct<ngram:string,count:bigint>>"

@@ -13,6 +13,7 @@ from pydantic import Field, PrivateAttr
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.arrow import pieces, strings, text_udf
 from corpusflow.functions.fields import helper, with_helpers
 from corpusflow.functions.text import WORD, strip
 from corpusflow.plans.base import MapFn
@@ -101,7 +102,7 @@ class ByteBigrams:
         def count(batches):
             total = np.zeros(65536, np.int64)
             for b in batches:
-                for t in b.column(0).to_pylist():
+                for t in (t for p in pieces(b.column(0)) for t in strings(p)):
                     x = np.frombuffer(f"\n{t or ''}\n".encode(), np.uint8).astype(np.int64)
                     total += np.bincount(x[:-1] * 256 + x[1:], minlength=65536)
             at = np.flatnonzero(total)
@@ -141,8 +142,7 @@ class Perplexity(MapFn):
         model = self._model or ByteBigrams.train(df.select(whole.alias("text")))
         text = F.substring(whole, 1, self.max_chars)
 
-        @F.pandas_udf("double")
-        def score(s: pd.Series) -> pd.Series:
-            return s.map(model.perplexity).astype("float64")
+        def score(texts: list[str | None]) -> pa.Array:
+            return pa.array([model.perplexity(t) for t in texts], pa.float64())
 
-        return score(normalise(text))
+        return text_udf("double", lambda: score)(normalise(text))

@@ -36,7 +36,10 @@ def test_bytes_that_are_no_text():
     assert arrow.strings(pa.array([b"a\xff", None]).view(pa.string())) == ["a�", None]
 
 
-@pytest.mark.parametrize("category, kind, params", [("tag", "ngrams", {"ngram_size": 2})])
+@pytest.mark.parametrize("category, kind, params", [
+    ("tag", "ngrams", {"ngram_size": 2}), ("tag", "token_count", {"pretrained_tokenizer_name_or_path": "/opt/tokenizers/byte_bpe_50k.json"}), ("tag", "perplexity", {}),
+    ("extract", "tei", {"on_error": "null"}), ("extract", "html", {}), ("format", "ftfy", {}),
+])
 def test_texts_reach_the_workers_by_pieces(spark, monkeypatch, category, kind, params):
     """The result doesn't depend on how texts are cut into pieces, each of which is of one or a few."""
     texts = ["one two one two", None, "", "<p>x</p>" if kind == "html" else "ein zwei", "wörter “und” mehr " * 9] * 3
