@@ -117,6 +117,9 @@ class ExprFilter(FilterFn):
     name: str = Field(default="expr")
     expr: str = Field(description="SQL expression")
 
+    def reads(self) -> None:
+        return None
+
     def keep(self, df: DataFrame) -> Column:
         return F.coalesce(F.expr(self.expr), F.lit(self.if_missing))
 

@@ -137,6 +137,9 @@ class Perplexity(MapFn):
         self._model = model
         return self
 
+    def learns(self) -> bool:
+        return self._model is None
+
     def column(self, df: DataFrame) -> Column:
         whole = F.coalesce(self.text(df), F.lit(""))
         model = self._model or ByteBigrams.train(df.select(whole.alias("text")))
