@@ -19,6 +19,7 @@ from pydantic import Field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.arrow import strings
 from corpusflow.functions.fields import get_field, set_field
 from corpusflow.functions.text import split_plain
 from corpusflow.plans.base import MapFn
@@ -27,6 +28,11 @@ from corpusflow.storage import materialize
 
 PRIME = np.uint64(4294967311)
 LIMIT = np.uint64(0xFFFFFFFF)
+HALF, FIFTEEN = np.uint64(32), np.uint64(15)
+MIX = np.array([0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)
+BLOCK = 64  # shingles at a time, so that their permutations stay in a core's cache
+FEW = 2_000_000  # rows that one task scans
+SCHEMA = pa.schema([("node", pa.int64()), ("bucket", pa.int64())])
 
 
 def optimal_bands(permutations: int, threshold: float) -> tuple[int, int]:
@@ -41,34 +47,93 @@ class MinHash:
         self.b = r.integers(0, 1 << 32, permutations, dtype=np.uint64)
         self.shingle = shingle
 
-    def signature(self, text: str) -> np.ndarray:
-        """The least of each permutation over the hashes of the word shingles; a short text is one shingle."""
+    def hashes(self, text: str) -> np.ndarray:
+        """The 32-bit hashes of the word shingles; a short text is one shingle."""
         ws = text.split()
         n = self.shingle
         grams = [" ".join(ws[i : i + n]) for i in range(len(ws) - n + 1)] or [" ".join(ws)]
-        h = pd.util.hash_array(np.array(grams, dtype=object), categorize=False) & LIMIT
-        return ((np.outer(h, self.a) + self.b) % PRIME % LIMIT).min(axis=0)
+        return pd.util.hash_array(np.array(grams, dtype=object), categorize=False) & LIMIT
+
+    def signatures(self, texts: list[str]) -> np.ndarray:
+        """A row a text: the least of each permutation over its shingles' hashes."""
+        out = np.full((len(texts), len(self.a)), LIMIT)
+        for k, t in enumerate(texts):
+            h = self.hashes(t)
+            for i in range(0, len(h), BLOCK):
+                np.minimum(out[k], self.permuted(h[i : i + BLOCK]).min(axis=0), out=out[k])
+        return out
+
+    def permuted(self, h: np.ndarray) -> np.ndarray:
+        """(h a + b) % PRIME % LIMIT without a division: 2^32 is -15 modulo PRIME."""
+        x = np.multiply.outer(h, self.a)
+        x += self.b
+        high = x >> HALF
+        high *= FIFTEEN
+        x &= LIMIT
+        x += FIFTEEN * PRIME
+        x -= high
+        np.right_shift(x, HALF, out=high)  # 16 at most
+        high *= FIFTEEN
+        x &= LIMIT
+        x -= high
+        for part in (PRIME, ~LIMIT + np.uint64(1)):  # where it is below 0, or not below LIMIT: the other value is past all others
+            np.add(x, part, out=high)
+            np.minimum(x, high, out=x)
+        return x
+
+    def keys(self, texts: list[str], bands: int) -> np.ndarray:
+        """One 64-bit key a text and band, which knows its band."""
+        s = self.signatures(texts).reshape(len(texts), bands, -1)
+        x = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64) * MIX[0], s.shape[:2]).copy()
+        for j in range(s.shape[2]):
+            x = (x ^ (x >> np.uint64(29))) * MIX[1] + s[:, :, j]
+        x = (x ^ (x >> np.uint64(30))) * MIX[0]
+        return (x ^ (x >> np.uint64(27))).view(np.int64)
 
     def buckets(self, text: str, bands: int) -> list[int]:
-        """One 64-bit key a band, which knows its band."""
-        s = self.signature(text).reshape(bands, -1)
-        return [int(np.uint64(pd.util.hash_array(np.array([row.tobytes() + bytes([k & 255, k >> 8])], dtype=object), categorize=False)[0]).view(np.int64)) for k, row in enumerate(s)]
-
-
-def keep_first(nodes: DataFrame) -> DataFrame:
-    """Of rows (node, bucket), the nodes that a scan in node order keeps; nodes are longs in document order."""
-    rows = materialize(nodes.select("node", "bucket").distinct(), "buckets")
-    kept = None
-    while True:
+        return self.keys([text], bands)[0].tolist()
+
+
+def scan(pairs: pa.Table) -> list[int]:
+    """The nodes that a scan in node order keeps, of rows (node, bucket)."""
+    node, bucket = (pairs.column(k).to_numpy() for k in (0, 1))
+    order = np.argsort(node, kind="stable")
+    node, bucket = node[order], bucket[order]
+    taken: set[int] = set()
+    kept = []
+    for own in np.split(np.arange(len(node)), np.flatnonzero(np.diff(node)) + 1) if len(node) else ():
+        keys = bucket[own].tolist()
+        if taken.isdisjoint(keys):
+            taken.update(keys)
+            kept.append(int(node[own[0]]))
+    return kept
+
+
+def keep_first(nodes: DataFrame, few: int = FEW) -> DataFrame:
+    """Of rows (node, bucket), the nodes that a scan in node order keeps; nodes are longs in document order.
+
+    Nodes that share no bucket are kept at once; rounds go over the shared buckets' rows until
+    these are few enough for one task.
+    """
+    every = materialize(nodes.select("node", "bucket"), "buckets")
+    shared = every.groupBy("bucket").agg(F.min("node").alias("lead"), F.max("node").alias("last")).filter("lead <> last").select("bucket")
+    rows = materialize(every.join(shared, "bucket", "left_semi").distinct(), "buckets")
+    kept = every.select("node").join(rows, "node", "left_anti").distinct()
+    while (n := rows.count()) > few:
         lead = rows.groupBy("bucket").agg(F.min("node").alias("lead"))
         leads = rows.join(lead, "bucket").groupBy("node").agg(F.min(F.col("lead") == F.col("node")).alias("all_led"))
         new = materialize(leads.filter("all_led").select("node"), "kept")
-        kept = new if kept is None else kept.unionByName(new)
+        kept = kept.unionByName(new)
         taken = rows.join(new, "node", "left_semi").select("bucket").distinct()
         dropped = rows.join(taken, "bucket", "left_semi").select("node").distinct()  # the kept ones among them leave too
         rows = materialize(rows.join(dropped, "node", "left_anti"), "buckets")
-        if rows.isEmpty():
-            return kept
+    if n:
+
+        def last(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(scan(pa.Table.from_batches(batches, SCHEMA)), pa.int64())], names=["node"])
+
+        kept = kept.unionByName(rows.select("node", "bucket").coalesce(1).mapInArrow(last, "node long"))
+    return kept
 
 
 @components.add("format", "deduplication")
@@ -103,8 +168,10 @@ class Deduplication(MapFn):
 
             def sign(batches):
                 for b in batches:
-                    keys = [k for x in b.column(1).to_pylist() for k in m.buckets(x, bands)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), bands), pa.int64()), pa.array(keys, pa.int64())], names=["node", "bucket"])
+                    for at in range(0, len(b), 500):
+                        part = b.slice(at, 500)
+                        keys = m.keys(strings(part.column(1)), bands)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), bands), pa.int64()), pa.array(keys.ravel(), pa.int64())], names=["node", "bucket"])
 
             kept = keep_first(ranked.select("node", "_text").mapInArrow(sign, "node long, bucket long"))
             first = ranked.join(kept, "node", "left_semi")

@@ -1,5 +1,6 @@
 """Operators against plain Python written from their definitions, with edge cases."""
 
+import random
 import re
 import statistics
 import string
@@ -341,3 +342,34 @@ def test_steps_on_an_empty_table(spark):
         assert step("format", kind).transform(df).count() == 0
     for kind in ("html", "plain", "tei"):
         assert step("extract", kind).transform(df).count() == 0
+
+
+def test_keep_first_by_rounds_and_by_one_scan(spark):
+    """The same nodes, whether rounds go on to the end or one task scans what shares a bucket; against a plain scan."""
+    r = random.Random(4)
+    pairs = [(n, r.randrange(60) if n % 3 else 1000 + n) for n in range(200) for _ in range(3)]
+    taken, want = set(), []
+    for n in range(200):
+        own = {b for k, b in pairs if k == n}
+        if not own & taken:
+            taken |= own
+            want.append(n)
+    df = spark.createDataFrame(pairs, "node long, bucket long")
+    for few in (0, 1_000_000):
+        assert sorted(x.node for x in dedup.keep_first(df, few).collect()) == want
+
+
+def test_minhash_of_many_texts():
+    """Signatures without a division are those of the formula, in blocks of shingles too."""
+    m = dedup.MinHash(64, 3)
+    texts = ["", "a", "one two three four", " ".join(map(str, range(500)))]
+    for got, t in zip(m.signatures(texts), texts):
+        h = m.hashes(t)
+        assert got.tolist() == min_of([[(int(x) * int(a) + int(b)) % 4294967311 % 0xFFFFFFFF for a, b in zip(m.a, m.b)] for x in h])
+    edge = dedup.np.array([0, 1, 0xFFFFFFFE, 0xFFFFFFFF], dedup.np.uint64)
+    assert m.permuted(edge).tolist() == [[(int(x) * int(a) + int(b)) % 4294967311 % 0xFFFFFFFF for a, b in zip(m.a, m.b)] for x in edge]
+    assert [m.buckets(t, 8) for t in texts] == m.keys(texts, 8).tolist()
+
+
+def min_of(rows):
+    return [min(column) for column in zip(*rows)]
