@@ -52,3 +52,28 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def before(mask: np.ndarray) -> np.ndarray:
     """How many true values there are before each place and before the end."""
     return np.r_[np.int64(0), np.cumsum(mask)]
+
+
+MIX = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD1342543DE82EF95
+_powers: list[np.ndarray] = []
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers 0 to n of an odd number and of its inverse, modulo 2^64."""
+    if _powers and len(_powers[0]) > n:
+        return _powers[0], _powers[1]
+    size = max(1 << 18, n)
+    a, b = (np.cumprod(np.r_[np.uint64(1), np.full(size, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    if n <= 1 << 20:  # those of a very long text aren't kept
+        _powers[:] = a, b
+    return a, b
+
+
+def prefix_hashes(c: np.ndarray, power: np.ndarray) -> np.ndarray:
+    """Sums whose differences, times the inverse power of the first place, are hashes of what lies between."""
+    own = c.astype(np.uint64)
+    own = (own + np.uint64(1)) * MIX
+    own ^= own >> np.uint64(29)
+    own *= power[: len(c)]
+    return np.r_[np.uint64(0), np.cumsum(own, dtype=np.uint64)]
